@@ -18,6 +18,7 @@ import functools
 import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,81 +38,113 @@ class MergeReplay:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.token = {r: t for t, r in ranks.items()}
-        self.byte = [ranks.get(bytes([b]), -1) for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def rank(self, a: int, b: int) -> int:
-        """Rank of the merge of two symbols, -1 if there is none."""
-        r = self.pairs.get((a, b))
-        if r is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            r = self.pairs[a, b] = self.ranks.get(self.token[a] + self.token[b], -1)
-        return r
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = [[self.ranks[w]] if w in self.ranks else [] for w in words]
-        sym: list[int] = []
-        starts: list[int] = []
-        which: list[int] = []
-        nxt: list[int] = []
-        prv: list[int] = []
-        index: dict[int, list[int]] = {}
-        rank, byte = self.rank, self.byte
-        for k, w in enumerate(words):
-            if out[k] or not w:
-                continue
-            at = len(sym)
-            starts.append(at)
-            which.append(k)
-            sym += [byte[b] for b in w]
-            n = len(w)
-            nxt += range(at + 1, at + n + 1)
-            prv += range(at - 1, at + n - 1)
-            nxt[-1] = prv[at] = -1
-            for i in range(at, at + n - 1):
-                if (r := rank(sym[i], sym[i + 1])) >= 0:
-                    index.setdefault(r, []).append(i)
-        heap = list(index)
-        heapq.heapify(heap)
+        self.size = max(ranks.values(), default=-1) + 1
+        self.token = [b""] * self.size
+        for t, r in ranks.items():
+            self.token[r] = t
+        self.byte = np.array([ranks.get(bytes([b]), 0) for b in range(256)], np.int32)
+        merges = [(ranks[t[:k]] * self.size + ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        merges.sort()
+        self.keys = np.array([k for k, _ in merges] or [-1], np.int64)
+        self.merged = np.array([r for _, r in merges] or [-1], np.int32)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of pairs of symbols, -1 where there is none."""
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.merged[at], -1)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids as little-endian unsigned 32-bit integers."""
+        whole = self.ranks.get
+        out = [b"" if (r := whole(w)) is None else r.to_bytes(4, "little") for w in words]
+        todo = [k for k, w in enumerate(words) if w and not out[k]]
+        if todo:
+            for k, code in zip(todo, self._replay([words[k] for k in todo]), strict=True):
+                out[k] = code
+        return out
+
+    def _replay(self, words: list[bytes]) -> list[bytes]:
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        n = int(ends[-1])
+        sym = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        nxt[ends - 1] = prv[starts] = -1
+        pair = np.full(n, -1, np.int32)  # rank of the merge of a place and the next
+        pair[:-1] = self.rank(sym[:-1], sym[1:])
+        pair[nxt < 0] = -1
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+        self._enter(index, heap, np.flatnonzero(pair >= 0), pair)
+        odd: list[np.ndarray] = []
         while heap:
             r = heapq.heappop(heap)
-            held: set[int] = set()
-            for i in sorted(index.pop(r, ())):
-                j = nxt[i]
-                if j < 0 or sym[i] < 0 or rank(sym[i], sym[j]) != r:
-                    continue
-                if held and self._start(prv, i) in held:
-                    if r not in index:
-                        index[r] = []
-                        heapq.heappush(heap, r)
-                    index[r].append(i)
-                    continue
-                sym[i], sym[j] = r, -1
-                nxt[i] = after = nxt[j]
-                if after >= 0:
-                    prv[after] = i
-                for left, right in ((prv[i], i), (i, after)):
-                    if left >= 0 and right >= 0 and (s := rank(sym[left], sym[right])) >= 0:
-                        if s not in index:
-                            index[s] = []
-                            heapq.heappush(heap, s)
-                        index[s].append(left)
-                        if s < r:  # this word has an earlier merge now; its other places of r wait
-                            held.add(self._start(prv, i))
-        for k, at in zip(which, starts, strict=True):
-            ids = out[k]
-            while at >= 0:
-                ids.append(sym[at])
-                at = nxt[at]
+            found = index.pop(r)
+            at = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+            at = at[pair[at] == r]
+            after = nxt[at]
+            if len(at) > 1 and (over := after[:-1] == at[1:]).any():  # in a run of one symbol the leftmost pairs go first
+                head = np.concatenate([[True], ~over])
+                k = np.arange(len(at))
+                at = at[(k - np.maximum.accumulate(np.where(head, k, 0))) % 2 == 0]
+                after = nxt[at]
+            if not len(at):
+                continue
+            far = nxt[after]
+            if len(at) > 1 and (beside := far[:-1] == at[1:]).any():  # between two such merges stands the first with the second's left
+                made = self.rank(np.full(int(beside.sum()), r), sym[at[1:][beside]])
+                odd.append(at[1:][beside][(made >= 0) & (made < r)])
+            sym[at], sym[after] = r, -1
+            pair[after] = -1
+            nxt[at] = far
+            inner = far >= 0
+            prv[far[inner]] = at[inner]
+            before = prv[at]
+            near = np.unique(np.concatenate([at, before[before >= 0]]))
+            right = nxt[near]
+            has = right >= 0
+            pair[near] = -1
+            near, right = near[has], right[has]
+            pair[near] = got = self.rank(sym[near], sym[right])
+            if ((got >= 0) & (got < r)).any():
+                odd.append(near[(got >= 0) & (got < r)])
+            self._enter(index, heap, near[got > r], pair)
+        stay = sym >= 0
+        ids = sym[stay].astype("<u4").tobytes()
+        upto = np.concatenate([[0], np.cumsum(stay)[ends - 1]]) * 4
+        out = [ids[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
+        # where a merge made way for one of lower rank, the order inside the word matters
+        for k in np.unique(np.searchsorted(ends, np.concatenate(odd), side="right")).tolist() if sum(map(len, odd)) else ():
+            out[k] = self.alone(words[k])
         return out
 
     @staticmethod
-    def _start(prv: list[int], i: int) -> int:
-        while prv[i] >= 0:
-            i = prv[i]
-        return i
+    def _enter(index: dict, heap: list, at: np.ndarray, pair: np.ndarray) -> None:
+        """Add places to the index under the ranks of their pairs."""
+        if not len(at):
+            return
+        ranks = pair[at]
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        for r, part in zip(ranks[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts) if len(cuts) else [at], strict=True):
+            if r in index:
+                index[r].append(part)
+            else:
+                index[r] = [part]
+                heapq.heappush(heap, r)
+
+    def alone(self, word: bytes) -> bytes:
+        """One word by itself: the leftmost pair of lowest rank is merged until none is left."""
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while True:
+            ranks = [self.ranks.get(a + b, self.size) for a, b in zip(parts, parts[1:], strict=False)]
+            if min(ranks, default=self.size) == self.size:
+                return b"".join(self.ranks[p].to_bytes(4, "little") for p in parts)
+            i = ranks.index(min(ranks))
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
 class Encoder:
@@ -123,16 +156,14 @@ class Encoder:
         self.replay = MergeReplay(ranks)
         self.find = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
-        self.size = max(ranks.values(), default=-1) + 1
-        self.token = [self.replay.token.get(i, b"") for i in range(self.size)]
+        self.token = self.replay.token
 
     def _learn(self, chunks) -> None:
         """Enter the ids of new chunks; a chunk is a stretch of text that no match of the pattern crosses."""
         new = [c for c in chunks if c not in self.cache]
         found = [self.find(c) for c in new]
         words = list({w for ws in found for w in ws})
-        ids = self.replay.encode([w.encode() for w in words])
-        code = {w: b"".join([x.to_bytes(4, "little") for x in i]) for w, i in zip(words, ids, strict=True)}
+        code = dict(zip(words, self.replay.encode([w.encode() for w in words]), strict=True))
         self.cache.update((c, b"".join([code[w] for w in ws])) for c, ws in zip(new, found, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -177,8 +208,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     def run(batches):
         enc = _encoder(blob.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 5000):
+                part = batch.slice(at, 5000)
                 got = enc.encode(part.column(1).to_pylist())
                 cols = [part.column(0), pa.array([len(x) // 4 for x in got], pa.int64())]
                 if ids:
