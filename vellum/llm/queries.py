@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import bpe, decontaminate, line_dedup, media, quality, simhash, substring_dedup, token_counts
+from vellum.llm import bpe, decontaminate, line_dedup, maxent_lm, media, quality, simhash, substring_dedup, token_counts
 from vellum.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -35,6 +35,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = maxent_lm.train_and_score(table(spark, sf_dir, "documents"), _remainder("doc_id", 7) != 2)
+    held = (_remainder("doc_id", 7) == 2).alias("held_out")
+    return scored.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -76,6 +82,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op3_line_dedup, op4_bpe, op5_simhash, op7_substring_dedup, op8_media, op9_quality, op10_decontamination)
+    for f in (op2_token_counts, op3_line_dedup, op4_bpe, op5_simhash, op6_maxent_lm, op7_substring_dedup, op8_media, op9_quality, op10_decontamination)
 }
 ORACLES: dict[str, str] = {}
