@@ -196,8 +196,8 @@ def _encoder(blob: bytes, pattern: str) -> Encoder:
     return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines())}, pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, ids: bool = True) -> DataFrame:
-    """Return id_col, n_tokens long[, ids binary: little-endian uint32][, decoded binary] for every row of ``docs``.
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False, ids: bool = True, text: bool = False) -> DataFrame:
+    """Return id_col, n_tokens long[, ids binary: little-endian uint32][, decoded binary][, text] for every row of ``docs``.
 
     The rank file (under 1 MB for 50,000 tokens) is read on the driver and sent to the executors once.
     """
@@ -216,10 +216,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
                     cols.append(pa.array(got, pa.binary()))
                 if decoded:
                     cols.append(pa.array([enc.decode(x) for x in got], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names)
+                yield pa.RecordBatch.from_arrays([*cols, part.column(1)] if text else cols, names)
 
-    names = ["id", "n_tokens", *["ids"] * ids, *["decoded"] * decoded]
-    schema = f"id {slim.schema['id'].dataType.simpleString()}, n_tokens long" + ", ids binary" * ids + ", decoded binary" * decoded
+    names = ["id", "n_tokens", *["ids"] * ids, *["decoded"] * decoded, *["text"] * text]
+    schema = f"id {slim.schema['id'].dataType.simpleString()}, n_tokens long" + ", ids binary" * ids + ", decoded binary" * decoded + ", text string" * text
     return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 

@@ -116,7 +116,8 @@ def score(docs: DataFrame, voter: Voter, *, id_col: str = "doc_id", text_col: st
     """id_col (or the columns ``keep``) and score double for every row."""
     model = docs.sparkSession.sparkContext.broadcast(voter)
     columns = keep or [id_col]
-    slim = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col(text_col).cast("string").alias("text_"))
+    slim = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *[F.col(text_col).cast("string").alias("text_")] * (text_col not in columns))
+    at_text = columns.index(text_col) if text_col in columns else len(columns)
 
     def run(batches):
         cache: dict = {}
@@ -125,9 +126,9 @@ def score(docs: DataFrame, voter: Voter, *, id_col: str = "doc_id", text_col: st
                 part = batch.slice(at, 2000)
                 if len(cache) > 300_000:
                     cache.clear()
-                x = np.stack([features(t, cache) for t in part.column(part.num_columns - 1).to_pylist()]) if part.num_rows else np.zeros((0, DIMS), np.float32)
-                cols = [*part.columns[:-1], pa.array(model.value.score(x), pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, [*part.schema.names[:-1], "score_"])
+                x = np.stack([features(t, cache) for t in part.column(at_text).to_pylist()])
+                cols = [*part.columns[: len(columns)], pa.array(model.value.score(x), pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, [*part.schema.names[: len(columns)], "score_"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[:-1]) + ", score_ double"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[: len(columns)]) + ", score_ double"
     return slim.mapInArrow(run, schema).toDF(*columns, "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import bpe, decontaminate, line_dedup, maxent_lm, media, quality, simhash, substring_dedup, token_counts
+from vellum.llm import bpe, decontaminate, html_text, line_dedup, maxent_lm, media, quality, simhash, substring_dedup, token_counts
 from vellum.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -15,6 +15,10 @@ def _remainder(column: str, by: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % by
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hist = token_counts.histogram(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return token_counts.suffix_sums(hist)
@@ -82,6 +86,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op3_line_dedup, op4_bpe, op5_simhash, op6_maxent_lm, op7_substring_dedup, op8_media, op9_quality, op10_decontamination)
+    for f in (op1_html_text, op2_token_counts, op3_line_dedup, op4_bpe, op5_simhash, op6_maxent_lm, op7_substring_dedup, op8_media, op9_quality, op10_decontamination)
 }
 ORACLES: dict[str, str] = {}
