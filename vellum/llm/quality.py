@@ -20,35 +20,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Bound of the labelled sample: rows of least hash. The classifier's only sample; scoring covers all rows.
-SAMPLE, DIMS, LATENT, NEIGHBOURS = 4000, 1024, 48, 15
+SAMPLE, DIMS, LATENT, NEIGHBOURS = 2000, 1024, 48, 15
 _FIGURES = 64  # first columns
 _SHAPE = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
+_UPPER = bytes(range(65, 91))
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
-def _feature(word: bytes) -> tuple[int, int]:
-    """Columns of a word's shape and, for words of up to four letters, of the word itself (else -1)."""
+def _feature(word: bytes) -> int:
+    """Columns of a word's shape and of the word itself if it has up to four letters (else column 0), as one number."""
     shape = _RUN.sub(rb"\1\1", word.translate(_SHAPE)) if len(word) < 64 else b"long"
     size = min(len(word), 40) // 4
     span = DIMS - _FIGURES
-    return _FIGURES + zlib.crc32(b"%d %b" % (size, shape)) % span, _FIGURES + zlib.crc32(word.lower()) % span if len(word) <= 4 else -1
+    return (_FIGURES + zlib.crc32(b"%d %b" % (size, shape)) % span) * DIMS + (_FIGURES + zlib.crc32(word.lower()) % span if len(word) <= 4 else 0)
 
 
-def features(text: str | None, cache: dict[bytes, tuple[int, int]]) -> np.ndarray:
+class Features(dict):
+    """Words to numbers of their columns, worked out at first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = _feature(word)
+        return out
+
+
+def features(text: str | None, cache: Features) -> np.ndarray:
     """Counts damped by a logarithm; figures take one of a few columns each, with a weight of their own."""
     raw = (text or "").encode()
     words = raw.split()
     out = np.zeros(DIMS, np.float32)
     n = len(words)
     if n:
-        get = cache.get
-        cols = np.array([get(w) or cache.setdefault(w, _feature(w)) for w in words]).ravel()
-        out += np.bincount(cols[cols >= 0], minlength=DIMS)
+        cols = np.fromiter(map(cache.__getitem__, words), np.int64, n)
+        out += np.bincount(cols // DIMS, minlength=DIMS)
+        out += np.bincount(cols % DIMS, minlength=DIMS)
+        out[:_FIGURES] = 0
         out *= 100.0 / n
         np.log1p(out, out)
     again = sum(map(bytes.__eq__, words, words[1:])) / n if n else 0.0
     lines = raw.split(b"\n")
-    upper, sign = len(re.findall(rb"[A-Z]", raw)), len(re.findall(rb"[^\sA-Za-z0-9\x80-\xff]", raw))
+    upper, sign = len(raw) - len(raw.translate(None, _UPPER)), len(raw) - len(raw.translate(None, _SIGNS))
     shares = (len(set(words)) / n if n else 0.0, again, len(set(lines)) / len(lines), upper / (len(raw) or 1), sign / (len(raw) or 1))
     for k, share in enumerate(shares):
         out[8 * k + min(7, int(8 * share**0.5))] = 3.0
@@ -101,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches):
-        cache: dict = {}
+        cache = Features()
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([features(t, cache).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "y", "x"]
@@ -120,7 +131,7 @@ def score(docs: DataFrame, voter: Voter, *, id_col: str = "doc_id", text_col: st
     at_text = columns.index(text_col) if text_col in columns else len(columns)
 
     def run(batches):
-        cache: dict = {}
+        cache = Features()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
