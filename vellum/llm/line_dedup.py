@@ -33,28 +33,35 @@ def within(a: Column, b: Column, threshold: int) -> Column:
     most e errors.
     """
     mask = (1 << (2 * threshold + 1)) - 1
-    p, t = F.split(a, ""), F.split(b, "")
-    n, m = F.length(b), F.length(a)
     start = F.struct(*[F.lit(sum(1 << (threshold + d) for d in range(e + 1))).cast("int").alias(f"r{e}") for e in range(threshold + 1)])
 
-    def step(acc: Column, j: Column) -> Column:
-        same = F.lit(0)
-        for d in range(-threshold, threshold + 1):
-            same = same.bitwiseOR(F.when((j + d >= 0) & (F.get(p, j + d) == F.get(t, j)), 1 << (d + threshold)).otherwise(0))
-        new: list[Column] = []
-        for e in range(threshold + 1):
-            r = acc[f"r{e}"].bitwiseAND(same)
-            if e:
-                old = acc[f"r{e - 1}"]
-                r = r.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[-1], 1))
-            new.append(r.bitwiseAND(F.lit(mask)))
-        return F.struct(*[x.cast("int").alias(f"r{e}") for e, x in enumerate(new)])
-
-    steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    last = F.aggregate(steps, start, step)[f"r{threshold}"]
-    ends = F.shiftright(last, 0).bitwiseAND(F.expr("1")).isNotNull()  # not null where both are
-    hit = F.coalesce(F.get(F.array(*[F.lit(1 << k) for k in range(2 * threshold + 1)]), m - n + threshold), F.lit(0))
-    return ends & (F.abs(m - n) <= threshold) & (last.bitwiseAND(hit) != 0)
+    def verdict(x: Column) -> Column:
+        p, t = x["p"], x["t"]
+        n, m = F.size(t), F.size(p)
+
+        def step(acc: Column, j: Column) -> Column:
+            c = F.get(t, j)
+            same = F.lit(0)
+            for d in range(-threshold, threshold + 1):
+                same = same.bitwiseOR(F.when(F.get(p, j + d) == c, 1 << (d + threshold)).otherwise(0))
+            new: list[Column] = []
+            for e in range(threshold + 1):
+                r = acc[f"r{e}"].bitwiseAND(same)
+                if e:
+                    old = acc[f"r{e - 1}"]
+                    r = r.bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new[-1], 1))
+                new.append(r.bitwiseAND(F.lit(mask)))
+            return F.struct(*[r.cast("int").alias(f"r{e}") for e, r in enumerate(new)])
+
+        steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        last = F.aggregate(steps, start, step)[f"r{threshold}"]
+        end = F.get(F.array(*[F.lit(1 << k) for k in range(2 * threshold + 1)]), m - n + threshold)
+        return F.coalesce(last.bitwiseAND(end) != 0, F.lit(False))
+
+    # the one step of transform binds the characters, which every step of aggregate reads
+    chars = lambda c: F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
+    both = F.array(F.struct(chars(a).alias("p"), chars(b).alias("t")))
+    return (F.abs(F.length(a) - F.length(b)) <= threshold) & F.get(F.transform(both, verdict), 0)
 
 
 def _segment(length: Column, j: int, threshold: int) -> tuple[Column, Column]:
