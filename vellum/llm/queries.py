@@ -46,8 +46,7 @@ def op6_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), derive={"kept_sha256": F.sha2("kept", 256)})
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.llm.fm_index import repeated_windows
 
@@ -182,19 +182,25 @@ def _kept_rows(batches, window):
         )
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_words, n_removed (long) and kept (binary: the kept words, UTF-8) for every row of ``docs``."""
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", derive: dict[str, Column] | None = None) -> DataFrame:
+    """id_col, n_words, n_removed (long) and kept (binary: the kept words, UTF-8) for every row of ``docs``.
+
+    derive: columns to have in place of kept, worked out of it once for each distinct text, before rows of equal texts take them.
+    """
+    derive = derive or {"kept": F.col("kept")}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = docs.select(F.col(id_col), text.alias("text")).select(id_col, "text", F.xxhash64("text").alias("th"), F.xxhash64("text", F.lit(1)).alias("tg"))
     texts = slim.groupBy("th", "tg").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    held = texts.select("th", "tg", "text").mapInArrow(lambda b: _anchor_rows(b, window, gram), "th long, tg long, a long, n long").repartition("a")
-    often = held.groupBy("a").agg(F.sum("n").alias("places")).where("places > 1")
+    # Both uses of the texts' and of the anchors' shuffles read the same columns, so that Spark writes each once.
+    held = texts.select("th", "tg", "text", "copies").mapInArrow(lambda b: _anchor_rows(b, window, gram), "th long, tg long, a long, n long").repartition("a")
+    often = held.groupBy("a").agg(F.sum("n").alias("places"), F.max("th").alias("t1"), F.max("tg").alias("t2")).where("places > 1 or t1 is null or t2 is null")
+    some = F.when(F.col("n") > 0, F.col("a"))
     wanted = (
-        held.join(often, "a")
+        held.join(often.select("a", "places"), "a")
         .groupBy("th", "tg")
-        .agg(F.collect_list("a").alias("want"), F.collect_list(F.when(F.col("places") > hot, F.col("a"))).alias("hot"))
+        .agg(F.collect_list(some).alias("want"), F.collect_list(F.when(F.col("places") > hot, some)).alias("hot"))
     )
-    segments = texts.join(wanted, ["th", "tg"]).select("th", "tg", "text", "want", "hot").mapInArrow(lambda b: _segment_rows(b, window, gram), _ROW)
+    segments = texts.join(wanted, ["th", "tg"]).select("th", "tg", "text", "want", "hot", "copies").mapInArrow(lambda b: _segment_rows(b, window, gram), _ROW)
     sharded = segments.repartition("a").sortWithinPartitions("a", "s", F.desc("has"))
     repeated = sharded.mapInArrow(lambda b: _shard_rows(b, window, shard_words), "th long, tg long, starts array<int>")
     starts = repeated.groupBy("th", "tg").agg(F.flatten(F.collect_list("starts")).alias("starts"))
@@ -203,4 +209,5 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, h
         .select("th", "tg", "text", "copies", "starts")
         .mapInArrow(lambda b: _kept_rows(b, window), "th long, tg long, n_words long, n_removed long, kept binary")
     )
-    return slim.select(id_col, "th", "tg").join(kept, ["th", "tg"]).select(id_col, "n_words", "n_removed", "kept")
+    kept = kept.select("th", "tg", "n_words", "n_removed", *[c.alias(name) for name, c in derive.items()])
+    return slim.select(id_col, "th", "tg").join(kept, ["th", "tg"]).select(id_col, "n_words", "n_removed", *derive)
