@@ -74,7 +74,7 @@ def has_place(m: Column) -> Column:
 
 def places(m: Column) -> Column:
     """All place names in the text, longest first."""
-    return F.filter(F.array(*map(F.lit, PLACES)), lambda p: F.contains(F.lower(m), p))
+    return F.filter(F.split(F.lit("|".join(PLACES)), r"\|"), lambda p: F.contains(F.lower(m), p))
 
 
 PREDICATES = {

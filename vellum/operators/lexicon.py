@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.functions import validators
@@ -19,17 +17,19 @@ def term_findings(text: Column) -> Column:
     """The first hit of each term, in the terms' order. A category none of whose terms stands in the text costs one search."""
     parts, order = [], 2_000_000
     for category, terms in data.TERMS.items():
+        label, safe = data.TERM_LABEL.get(category, (None, "[REDACTED]"))
+        before, _, after = safe.partition("{}")
+
+        def made(hit: Column) -> Column:
+            out = F.concat(F.lit(before), hit["raw"], F.lit(after)) if "{}" in safe else F.lit(safe)
+            return finding(f"gazetteer_{category}", label or hit["term"], data.TERM_RISK[category], hit["raw"], out, None, "B1_gazetteer", hit["k"] + order)
+
+        first = lambda t, k: F.struct(t.alias("term"), F.call_function("regexp_extract", text, F.concat(F.lit(_FROM), t, F.lit(_TO)), F.lit(0)).alias("raw"), k.alias("k"))
+        hits = F.filter(F.transform(strings(terms), first), lambda h: h["raw"] != "")
+        found = F.transform(hits, made).cast(f"array<{FINDING}>")
         any_term = _FROM + "(?:" + "|".join(terms) + ")" + _TO
-        each = []
-        for term in terms:
-            label, safe = data.TERM_LABEL.get(category, (term, "[REDACTED]"))
-            hit = F.regexp_extract(text, _FROM + term + _TO, 0)
-            before, _, after = safe.partition("{}")
-            made = F.concat(F.lit(before), hit, F.lit(after)) if "{}" in safe else F.lit(safe)
-            each.append(finding(f"gazetteer_{category}", label, data.TERM_RISK[category], hit, made, None, "B1_gazetteer", order))
-            order += 1
-        found = F.filter(F.array(*each), lambda f: f["raw_match"] != "")
-        parts.append(F.when(text.rlike(any_term), found.cast(f"array<{FINDING}>")).otherwise(F.array().cast(f"array<{FINDING}>")))
+        parts.append(F.when(text.rlike(any_term), found).otherwise(F.array().cast(f"array<{FINDING}>")))
+        order += len(terms)
     return F.concat(*parts)
 
 
@@ -39,22 +39,30 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longer > 0, F.lit(1.0) - F.levenshtein(a, b) / longer).otherwise(F.lit(1.0))
 
 
-def _near(w: Column, phrase: str) -> Column:
-    """Whether a window (w: words, l: length) is similar enough to the phrase.
+def _near(phrase: str) -> str:
+    """SQL test of a window w (w: words, l: length) for being similar enough to the phrase.
 
     Within the threshold lengths differ by at most a fifth of the longer, so others are not compared; and no more edits are
-    counted than the longest such window may have.
+    counted than the longest such window may have. SQL text, since dozens of such tests are slow to build call by call.
     """
     n = len(phrase)
     low, high = -(-n * 4 // 5), n * 5 // 4
-    edits = F.levenshtein(w["w"], F.lit(phrase), high // 5)
-    longer = F.greatest(w["l"], F.lit(n))
-    return w["l"].between(low, high) & (edits >= 0) & (F.lit(1.0) - edits / longer >= data.FUZZY_THRESHOLD)
+    edits = f"levenshtein(w.w, {_quote(phrase)}, {high // 5})"
+    return f"(w.l between {low} and {high} and {edits} >= 0 and 1D - {edits} / greatest(w.l, {n}) >= {data.FUZZY_THRESHOLD}D)"
+
+
+def _quote(text: str | None) -> str:
+    return "null" if text is None else "'" + text.replace("'", "\\'") + "'"
+
+
+def strings(words) -> Column:
+    """A literal array."""
+    return F.expr("array(" + ", ".join(map(_quote, dict.fromkeys(words))) + ")")
 
 
-def first_window(candidates: Column, phrase: str) -> Column:
-    """Place of the first window similar enough to the phrase, null if there is none."""
-    return F.get(F.filter(candidates, lambda w: _near(w, phrase)), 0)["i"]
+def first_window(column: str, phrase: str) -> str:
+    """SQL of the place of the first window similar enough to the phrase, null if there is none."""
+    return f"get(filter({column}, w -> {_near(phrase)}), 0).i"
 
 
 def windows(words: Column, n: int) -> Column:
@@ -65,10 +73,9 @@ def windows(words: Column, n: int) -> Column:
     return F.when(count >= 0, runs).otherwise(F.array().cast("array<struct<i:int,w:string,l:int>>"))
 
 
-def candidates(words: Column, n: int) -> Column:
-    """Windows of n words similar to any phrase of n words; the phrases then look at these few alone."""
-    phrases = [p for p, *_ in data.TRIGGERS if p.count(" ") + 1 == n]
-    return F.filter(windows(words, n), lambda w: reduce(lambda a, p: a | _near(w, p), phrases, F.lit(False)))
+def candidates(column: str, n: int) -> Column:
+    """Of a column of windows of n words, those similar to any phrase of n words; the phrases then look at these few alone."""
+    return F.expr(f"filter({column}, w -> {' or '.join(_near(p) for p, *_ in data.TRIGGERS if p.count(' ') + 1 == n)})")
 
 
 def _bare(word: Column) -> Column:
@@ -78,7 +85,7 @@ def _bare(word: Column) -> Column:
 def value_words(words: Column, start: Column) -> Column:
     """Up to eight words from start, before a stop word, through a word that ends a sentence."""
     after = F.slice(words, start + 1, F.lit(data.MAX_VALUE_WORDS))
-    stops = F.array(*map(F.lit, dict.fromkeys(_STOP)))
+    stops = strings(_STOP)
     stop = F.array_position(F.transform(after, lambda w: F.array_contains(stops, _bare(w))), True)
     end = F.array_position(F.transform(after, lambda w: w.rlike(r"[.!?]\z")), True)
     upto = F.least(F.when(stop > 0, stop - 1), F.when(end > 0, end), F.size(after))
@@ -95,55 +102,55 @@ def recapitalise(span: Column) -> Column:
     return F.array_join(F.transform(F.split(F.lower(span), " "), lambda w, i: F.when((i > 0) & w.isin(data.MINOR_WORDS), w).otherwise(up(w))), " ")
 
 
-def plausible(span: Column, category: str) -> Column:
+def plausible(span: Column, category: Column) -> Column:
     """Whether a value looks like one of its category."""
     words = F.filter(F.split(F.lower(span), " "), lambda w: w != "")
-    ok = (F.length(span) >= 2) & F.exists(words, lambda w: ~w.isin(_STOP))
-    holds = lambda terms: F.lower(span).rlike("|".join(terms))
-    match category:
-        case "person_name":
-            return ok & ~span.rlike("^[0-9]")
-        case "age":
-            return ok & span.rlike("^[0-9]")
-        case "dob":
-            return ok & span.rlike("[0-9]")
-        case "location":
-            return ok & (validators.has_place(span) | F.exists(words, lambda w: (F.length(w) >= 3) & ~w.isin(_STOP)))
-        case "health":
-            return ok & holds(data.TERMS["medical"])
-        case "religion":
-            return ok & holds(data.TERMS["nationality_religion"])
-        case "financial":
-            return ok & (span.rlike("[0-9]") | holds(data.TERMS["financial"]))
-    return ok
-
-
-def trigger_finding(words: Column, at: Column, index: int) -> Column:
-    """The finding of one trigger at a window's place; null if its value does not hold."""
-    phrase, category, risk, needs = data.TRIGGERS[index]
-    n = phrase.count(" ") + 1
-    trigger = F.array_join(F.slice(words, at + 1, F.lit(n)), " ")
-    label, safe = data.CATEGORY[category]
-
-    def made(span: Column) -> Column:
-        neat = recapitalise(span)
-        ok = (span != "") & plausible(neat, category)
-        if needs:
-            ok = ok & F.lower(span).rlike("|".join(data.TERMS[needs]))
-        value = F.concat(F.substring(neat, 1, 1), F.lit("***")) if safe is None else F.lit(safe)
-        return F.when(ok, finding(f"trigger_{category}", label, risk, F.concat_ws(" ", trigger, span), F.concat_ws(" ", trigger, value), None, "B2_trigger", 3_000_000 + index))
-
-    # one step of transform keeps the span from being worked out again for every use
-    return F.when(at.isNotNull(), F.get(F.transform(F.array(span_of(value_words(words, at + n))), made), 0))
+    digit, holds = span.rlike("[0-9]"), lambda terms: F.lower(span).rlike("|".join(terms))
+    of_kind = (
+        F.when(category == "person_name", ~span.rlike("^[0-9]"))
+        .when(category == "age", span.rlike("^[0-9]"))
+        .when(category == "dob", digit)
+        .when(category == "location", validators.has_place(span) | F.exists(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(strings(_STOP), w)))
+        .when(category == "health", holds(data.TERMS["medical"]))
+        .when(category == "religion", holds(data.TERMS["nationality_religion"]))
+        .when(category == "financial", digit | holds(data.TERMS["financial"]))
+        .otherwise(True)
+    )
+    return (F.length(span) >= 2) & F.exists(words, lambda w: ~F.array_contains(strings(_STOP), w)) & of_kind
+
+
+def trigger_finding(words: Column, hit: Column) -> Column:
+    """The finding of one hit (k, n, category, risk, needs, at); null if its value does not hold."""
+    label, safe = F.lit(None), F.lit(None)
+    for category, (name, text) in data.CATEGORY.items():
+        label = F.when(hit["category"] == category, name).otherwise(label)
+        safe = F.when(hit["category"] == category, F.lit(text)).otherwise(safe)
+
+    def made(x: Column) -> Column:
+        ok = (x["span"] != "") & plausible(x["neat"], hit["category"]) & (hit["needs"].isNull() | F.call_function("rlike", F.lower(x["span"]), hit["needs"]))
+        value = F.coalesce(safe, F.concat(F.substring(x["neat"], 1, 1), F.lit("***")))
+        raw, safe_version = F.concat_ws(" ", x["trigger"], x["span"]), F.concat_ws(" ", x["trigger"], value)
+        return F.when(ok, finding(F.concat(F.lit("trigger_"), hit["category"]), label, hit["risk"], raw, safe_version, None, "B2_trigger", hit["k"] + 3_000_000))
+
+    # one step of transform binds a value, which is then read many times
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+    trigger = F.array_join(F.slice(words, hit["at"] + 1, hit["n"]), " ")
+    with_neat = lambda s: F.struct(s.alias("span"), recapitalise(s).alias("neat"), trigger.alias("trigger"))
+    return bind(bind(span_of(value_words(words, hit["at"] + hit["n"])), with_neat), made)
 
 
 def with_trigger_findings(df: DataFrame, nlp_col: str = "text_nlp", out: str = "triggers") -> DataFrame:
     """Add the array of trigger findings. Words, windows and window places are columns of their own."""
-    d = df.withColumn("words__", F.filter(F.split(F.col(nlp_col), " "), lambda w: w != ""))
-    d = d.withColumn("lower__", F.split(F.lower(F.col(nlp_col)), " "))
+    d = df.withColumns({"words__": F.filter(F.split(F.col(nlp_col), " "), lambda w: w != ""), "lower__": F.split(F.lower(F.col(nlp_col)), " ")})
     sizes = sorted({p.count(" ") + 1 for p, *_ in data.TRIGGERS})
-    d = d.withColumns({f"w{n}__": candidates(F.col("lower__"), n) for n in sizes})
-    d = d.withColumn("at__", F.array(*[first_window(F.col(f"w{p.count(' ') + 1}__"), p) for p, *_ in data.TRIGGERS]))
-    found = F.array(*[trigger_finding(F.col("words__"), F.get(F.col("at__"), k), k) for k in range(len(data.TRIGGERS))])
-    d = d.withColumn(out, F.when(F.exists("at__", lambda x: x.isNotNull()), F.filter(found, lambda f: f.isNotNull())).otherwise(F.array()).cast(f"array<{FINDING}>"))
-    return d.drop("words__", "lower__", "at__", *[f"w{n}__" for n in sizes])
+    d = d.withColumns({f"w{n}__": windows(F.col("lower__"), n) for n in sizes}).withColumns({f"w{n}__": candidates(f"w{n}__", n) for n in sizes})
+    hits = ", ".join(
+        f"named_struct('k', {k}, 'n', {p.count(' ') + 1}, 'category', {_quote(c)}, 'risk', {_quote(r)}, 'needs', cast({_quote('|'.join(data.TERMS[need]) if need else None)} as string), "
+        f"'at', {first_window(f'w{p.count(chr(32)) + 1}__', p)})"
+        for k, (p, c, r, need) in enumerate(data.TRIGGERS)
+    )
+    none = "cast(array() as array<struct<k:int,n:int,category:string,risk:string,needs:string,at:int>>)"
+    any_window = " or ".join(f"size(w{n}__) > 0" for n in sizes)
+    d = d.withColumn("at__", F.expr(f"case when {any_window} then filter(array({hits}), h -> h.at is not null) else {none} end"))
+    found = F.filter(F.transform("at__", lambda h: trigger_finding(F.col("words__"), h)), lambda f: f.isNotNull())
+    return d.withColumn(out, found.cast(f"array<{FINDING}>")).drop("words__", "lower__", "at__", *[f"w{n}__" for n in sizes])

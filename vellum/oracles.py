@@ -86,8 +86,8 @@ def _digits(m: str) -> str:
 
 def luhn(d: str) -> str:
     """Luhn check of a string of digits."""
-    return f"""(list_sum(list_transform(string_split(reverse({d}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT
-  ELSE (CASE WHEN c::INT * 2 > 9 THEN c::INT * 2 - 9 ELSE c::INT * 2 END) END)) % 10 = 0)"""
+    return f"""(list_sum(list_transform(string_split(reverse({d}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN try_cast(c AS INT)
+  ELSE (CASE WHEN try_cast(c AS INT) * 2 > 9 THEN try_cast(c AS INT) * 2 - 9 ELSE try_cast(c AS INT) * 2 END) END)) % 10 = 0)"""
 
 
 PLACE = f"regexp_matches(lower({{}}), {s('|'.join(validators.SHORTEST_PLACES))})"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.functions.normalize import legacy, normalize
 from vellum.operators import lexicon, redact, rules, score
@@ -28,7 +28,15 @@ def scan(df: DataFrame, text_col: str = "text", *, profile: str = "documented",
 
 def explode_findings(scanned: DataFrame, *keys: str) -> DataFrame:
     """A row for each finding."""
-    return scanned.select(*keys, F.explode("findings").alias("f")).select(*keys, "f.*")
+    return each(scanned, F.col("findings"), *keys)
+
+
+def each(df: DataFrame, found: Column, *keys: str) -> DataFrame:
+    """A row for each finding of an array.
+
+    The outer explode keeps Spark from testing the array's size in a filter of its own, which would work the array out twice.
+    """
+    return df.select(*keys, F.explode_outer(found).alias("f")).where("f.pattern_id is not null").select(*keys, "f.*")
 
 
 def legacy_scan(df: DataFrame, text_col: str = "text", mode: str = "strict") -> DataFrame:

@@ -125,6 +125,7 @@ def norm_regex_layer(spark, sf_dir):
 
 # --- pattern rules
 
+_FINDING = ["pattern_id", "risk", "raw_match", "safe_version", "validated", "ord"]
 _REAL = {"credit_card", "api_key", "email", "phone_intl", "ipv4", "ph_address"}  # rules with hits in documents
 for _rule in rules.RULES:
 
@@ -132,8 +133,7 @@ for _rule in rules.RULES:
         source = docs(spark, sf_dir) if rule.id in _REAL else prompts(spark, sf_dir)
         if rule.id == "source_code":
             source = source.withColumn("text", F.concat(F.lit("run `"), "text", F.lit("` and ```x\ny```")))
-        found = source.select("doc_id", F.explode(rules.rule_findings(F.col("text"), rule, rules.RULES.index(rule))).alias("f"))
-        return found.select("doc_id", "f.pattern_id", "f.risk", "f.raw_match", "f.safe_version", "f.validated", "f.ord")
+        return plans.each(source, rules.rule_findings(F.col("text"), rule, rules.RULES.index(rule)), "doc_id").select("doc_id", *_FINDING)
 
     QUERIES[f"det_{_rule.id}"] = _run
     _source = "documents" if _rule.id in _REAL else PROMPTS
@@ -162,11 +162,8 @@ def place_list(spark, sf_dir):
 
 # --- lexicon
 
-_FINDING = ["pattern_id", "risk", "raw_match", "safe_version", "validated", "ord"]
-
-
 def _found(d: DataFrame, column: str, *keys: str) -> DataFrame:
-    return d.select(*keys, F.explode(column).alias("f")).select(*keys, *[f"f.{c}" for c in _FINDING])
+    return plans.each(d, F.col(column), *keys).select(*keys, *_FINDING)
 
 
 @register(f"WITH {o.normalised(PROMPTS, 'doc_id')} {o.term_rows('n', 'doc_id')}")
