@@ -179,9 +179,12 @@ def trigger_rows(source: str, keys: str) -> str:
  SELECT *, least(coalesce(list_position(list_transform(after_, lambda w: list_contains({stop}, lower(regexp_replace(w, '[.,!?;:''"]', '', 'g')))), true) - 1, 99),
    coalesce(list_position(list_transform(after_, lambda w: regexp_matches(w, '[.!?]$')), true), 99), len(after_)) AS upto FROM (
  SELECT {keys}, k, category, risk, safe, need, array_to_string(words[at_:at_ + n - 1], ' ') AS trig, words[at_ + n:at_ + n + {data.MAX_VALUE_WORDS - 1}] AS after_ FROM (
- SELECT {keys}, words, t.*, list_filter(range(1, len(words) - t.n + 2), lambda i: abs(length(array_to_string(words[i:i + t.n - 1], ' ')) - length(t.phrase)) <= 0.26 * length(t.phrase)
-   AND {similarity("lower(array_to_string(words[i:i + t.n - 1], ' '))", "t.phrase")} >= {data.FUZZY_THRESHOLD})[1] AS at_
- FROM (SELECT {keys}, string_split(text_nlp, ' ') AS words FROM {source}), (VALUES {values}) AS t(k, phrase, n, category, risk, safe, need)) WHERE at_ IS NOT NULL))))
+ SELECT {keys}, w_.words, h_.* EXCLUDE ({keys}) FROM (SELECT {keys}, k, phrase, n, category, risk, safe, need, min(i) AS at_ FROM (
+  SELECT {keys}, sz, i, plain, length(plain) AS lp FROM (SELECT {keys}, sz, i, regexp_replace(lower(array_to_string(words[i:i + sz - 1], ' ')), '[^\\x00-\\x7F]', '?', 'g') AS plain FROM (
+   SELECT {keys}, words, sz, unnest(range(1, len(words) - sz + 2)) AS i FROM (SELECT {keys}, string_split(text_nlp, ' ') AS words FROM {source}), (VALUES (1), (2), (3), (4), (5)) AS s_(sz) WHERE len(words) >= sz))) AS v_
+  JOIN (VALUES {values}) AS t(k, phrase, n, category, risk, safe, need) ON v_.sz = t.n AND lp BETWEEN length(t.phrase) * 0.74 AND length(t.phrase) * 1.27
+   AND 1.0::DOUBLE - levenshtein(plain, t.phrase)::DOUBLE / greatest(lp, length(t.phrase)) >= {data.FUZZY_THRESHOLD} GROUP BY ALL) AS h_
+ JOIN (SELECT {keys}, string_split(text_nlp, ' ') AS words FROM {source}) AS w_ USING ({keys}))))))
 WHERE span <> '' AND (need IS NULL OR regexp_matches(lower(span), need)) AND {ok}"""
 
 
