@@ -5,8 +5,8 @@ content. The tokens of a host's pages that share an occurrence vector (how often
 vectors meet as the XOR of one hash for each page and count, so classes form under partial aggregation and no host is
 gathered anywhere. Classes of several tokens that hold nine pages of ten or more, in one order, are valid; their element
 paths nest into the host's template and their texts are its fixed parts. Text that remains lies in slots between template
-elements. The template element deepest down that still covers nine tenths of a host's remaining text bounds the main
-slot, and its blocks are a page's text.
+elements. The element deepest down that stands once a page in the template and still covers nine tenths of a host's
+remaining text bounds the main slot (its article or main element, if it lies in one), and its blocks are a page's text.
 
 Elements that are boilerplate by tag, role, class or id (menus, page headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, reader comments) never count as slots. Hosts of under three pages, and pages without their host's main element, fall back
@@ -33,6 +33,7 @@ MIN_PAGES, SUPPORT, COVER, DEPTH = 3, 0.9, 0.9, 32
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track".split())
 BOILER_TAGS = frozenset("nav footer aside form dialog menu head".split())
+LEAVES = "p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th figcaption".split()
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|select|button|canvas|audio|video"
 _TOKEN = re.compile(
@@ -177,7 +178,7 @@ def _token_rows(batches):
                 h = xxhash.xxh64_intdigest(b"%d:%d" % (key, n))
                 got = seen.get(full := (host, *token))
                 if got is None:
-                    seen[full] = [h, 1, chars, place, place, place]
+                    seen[full] = [h, 1, chars, place, place, place, n]
                 else:
                     got[0] ^= h
                     got[1] += 1
@@ -185,11 +186,12 @@ def _token_rows(batches):
                     got[3] += place
                     got[4] = min(got[4], place)
                     got[5] = max(got[5], place)
+                    got[6] += n
         if seen:
             host, path, text = zip(*seen, strict=True)
             vector, *rest = zip(*seen.values(), strict=True)
             cols = [pa.array(host), pa.array(path), pa.array(text, pa.int64()), pa.array([v - (1 << 64) if v >> 63 else v for v in vector], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(x, pa.int64()) for x in rest]], ["host", "path", "text", "vector", "pages", "chars", "place", "low", "high"])
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(x, pa.int64()) for x in rest]], ["host", "path", "text", "vector", "pages", "chars", "place", "low", "high", "times"])
 
 
 def _keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -202,16 +204,16 @@ def templates(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     tokens = cut(
         _keyed(pages, id_col, url_col, html_col)
         .select("host", "key", "page")
-        .mapInArrow(_token_rows, "host string, path string, text long, vector long, pages long, chars long, place long, low long, high long")
+        .mapInArrow(_token_rows, "host string, path string, text long, vector long, pages long, chars long, place long, low long, high long, times long")
         .groupBy("host", "path", "text")
-        .agg(*[f(c).alias(c) for c, f in (("vector", F.bit_xor), ("pages", F.sum), ("chars", F.sum), ("place", F.sum), ("low", F.min), ("high", F.max))])
+        .agg(*[f(c).alias(c) for c, f in (("vector", F.bit_xor), ("pages", F.sum), ("chars", F.sum), ("place", F.sum), ("low", F.min), ("high", F.max), ("times", F.sum))])
     )
     hosts = tokens.where("path = '' and text = 0").select("host", F.col("pages").alias("of")).where(F.col("of") >= MIN_PAGES)
     frequent = tokens.join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("of")).withColumn("mean", F.col("place") / F.col("pages"))
     line = W.partitionBy("host", "vector", "pages").orderBy("mean", "path", "text")
     ordered = frequent.withColumn("fits", (F.col("low") >= F.coalesce(F.lag("low").over(line), F.col("low"))) & (F.col("high") >= F.coalesce(F.lag("high").over(line), F.col("high"))))
     valid = ordered.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("size"), F.min("fits").alias("fits")).where("size > 1 and fits")
-    template = frequent.join(valid, ["host", "vector", "pages"], "left_semi").select("host", "path", "text")
+    template = frequent.join(valid, ["host", "vector", "pages"], "left_semi").select("host", "path", "text", (F.col("times") == F.col("pages")).alias("once"))
     remains = (
         tokens.where("text != 0").join(template, ["host", "path", "text"], "left_anti").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
     )
@@ -222,9 +224,11 @@ def templates(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     main = (
         covered.join(total, "host")
         .where(F.col("chars") >= COVER * F.col("total"))
-        .join(template.where("text = 0").select("host", "path"), ["host", "path"], "left_semi")
+        .join(template.where("text = 0 and once").select("host", "path"), ["host", "path"], "left_semi")
+        .where(~F.regexp_extract("path", "/([^/.#]*)[^/]*$", 1).isin(LEAVES))
         .groupBy("host")
         .agg(F.max_by("path", F.struct(F.size(F.split("path", "/")), "chars", "path")).alias("main"))
+        .select("host", F.coalesce(F.nullif(F.regexp_extract("main", "^(.*?/(?:article|main)(?:[.#][^/]*)?)(?:/|$)", 1), F.lit("")), F.col("main")).alias("main"))
         .where("main != ''")
     )
     return template, main
