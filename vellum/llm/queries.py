@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import bpe, decontaminate, html_text, line_dedup, maxent_lm, media, quality, simhash, substring_dedup, token_counts
+from vellum.llm import bpe, decontaminate, html_text, line_dedup, maxent_lm, media, oracles, quality, simhash, substring_dedup, token_counts
 from vellum.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -87,4 +87,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_html_text, op2_token_counts, op3_line_dedup, op4_bpe, op5_simhash, op6_maxent_lm, op7_substring_dedup, op8_media, op9_quality, op10_decontamination)
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_substring_dedup": oracles.OP7, "op10_decontamination": oracles.OP10}
