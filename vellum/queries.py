@@ -14,7 +14,7 @@ from vellum.functions import normalize as norm, validators
 from vellum.functions.dialect import sql_string as s
 from vellum.operators import lexicon, lexicon_data as data, redact, rules, score
 from vellum.plans import policy, scan as plans
-from vellum.sources.tables import pages_text, table
+from vellum.sources.tables import pages_text, spread, table
 from vellum.streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,7 +59,7 @@ PROMPTS = f"(SELECT c_custkey AS doc_id, {PROMPT} AS text FROM customer)"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 # --- normaliser
@@ -220,7 +220,7 @@ def scan_documents(spark, sf_dir):
 
 @register(_scan_sql("conversations", "conv_id, turn"))
 def scan_conversations(spark, sf_dir):
-    return _scan_result(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+    return _scan_result(spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")), "conv_id", "turn")
 
 
 _LEGACY_RULES = "\nUNION ALL ".join(o.rule_rows(r, "t", "doc_id", "x") for r in rules.RULES)
@@ -340,7 +340,7 @@ _DOC_ALL = f"WITH {o.normalised('documents', 'doc_id')}, f AS ({o.merged(o.all_r
 
 @register(f"{_DOC_ALL} SELECT d.lang, f.pattern_id, count(*) AS n_findings, count(DISTINCT doc_id) AS n_docs FROM f JOIN documents d USING (doc_id) GROUP BY ALL")
 def corpus_by_rule(spark, sf_dir):
-    d = plans.findings(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    d = plans.findings(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")))
     return plans.explode_findings(d, "doc_id", "lang").groupBy("lang", "pattern_id").agg(F.count(F.lit(1)).alias("n_findings"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -356,5 +356,5 @@ _CONV_ALL = f"WITH {o.normalised('conversations', 'conv_id, turn')}, f AS ({o.me
 
 @register(f"{_CONV_ALL} SELECT c.role, z.risk_level, count(*) AS n_turns, sum(z.n_findings)::BIGINT AS n_findings FROM z JOIN conversations c USING (conv_id, turn) GROUP BY ALL")
 def risk_by_role(spark, sf_dir):
-    d = plans.scan(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    d = plans.scan(spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
     return d.groupBy("role", "risk_level").agg(F.count(F.lit(1)).alias("n_turns"), F.sum(F.size("findings")).alias("n_findings"))

@@ -13,6 +13,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in too few pieces to keep the cluster busy, dealt out evenly; one in enough pieces as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
+
+
 def pages_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Visible text of pages: scripts, styles and tags out. A plain stand-in for an element's text."""
     text = F.regexp_replace(F.coalesce(html_col, F.lit("")), r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
