@@ -275,9 +275,9 @@ _MAX_RULES = f"f AS ({o.all_rows('n', 'doc_id', triggers=False)})"
 )
 def risk_presentation(spark, sf_dir):
     d = plans.scan(prompts(spark, sf_dir)).select("doc_id", "risk_level", F.size("findings").alias("n"), "submit_allowed")
-    p = F.broadcast(policy.presentation(spark))  # five rows
-    # a left join: an inner one would test the level for null below the scan, and work the scan out for that
-    return d.join(p, "risk_level", "left").select("doc_id", "risk_level", "label", "badge", "show_bar", "clickable", "show_safe", F.size("actions").alias("n_actions"), policy.bar_text(F.col("n")).alias("bar_text"), "submit_allowed")
+    d = d.withColumn("p", policy.presented(F.col("risk_level")))
+    shown = [f"p.{c}" for c in ("label", "badge", "show_bar", "clickable", "show_safe")]
+    return d.select("doc_id", "risk_level", *shown, F.size("p.actions").alias("n_actions"), policy.bar_text(F.col("n")).alias("bar_text"), "submit_allowed")
 
 
 _KINDS = " ".join(f"WHEN pattern_id IN {o._in(ids)} THEN {s(k)}" for k, ids in policy.INFORMATION.items())
