@@ -72,13 +72,18 @@ def contained(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: st
         .select("doc__", (F.col("pos") - F.col("off")).alias("start"), "n", "win", "size", "items")
         .where("start >= 0 and start + size <= n")
         .groupBy("doc__")
-        .agg(F.collect_set(F.struct("start", "size", "win", "items")).alias("met"))
+        .agg(F.collect_set(F.struct("start", "size", "win", "items")).alias("met__"))
     )
     joined = docs.withColumn("doc__", F.xxhash64(F.col(id_col), text)).join(found.hint("shuffle_hash"), "doc__", "left").drop("doc__")
-    joined = joined.withColumn("w__", words(text))
-    same = lambda c: lower_ascii(F.array_join(F.slice("w__", c["start"] + 1, c["size"]), " ")) == c["win"]
-    hits = F.coalesce(F.filter("met", same), F.array().cast(found.schema["met"].dataType))
-    out = joined.select(*docs.columns, F.size("w__").cast("long").alias("n_words"), hits.alias("hits__"))
+    none = F.array().cast(found.schema["met__"].dataType)
+
+    def verified(x: Column) -> Column:
+        same = lambda c: lower_ascii(F.array_join(F.slice(x["w"], c["start"] + 1, c["size"]), " ")) == c["win"]
+        return F.struct(F.size(x["w"]).cast("long").alias("n"), F.coalesce(F.filter(x["met"], same), none).alias("hits"))
+
+    # transform binds a text's words, so that they are split once; explode keeps a filter on the result above this work
+    bound = F.transform(F.array(F.struct(words(text).alias("w"), F.col("met__").alias("met"))), verified)
+    out = joined.select(*docs.columns, F.explode_outer(bound).alias("r__")).select(*docs.columns, F.col("r__.n").alias("n_words"), F.col("r__.hits").alias("hits__"))
     covered = F.array_distinct(F.flatten(F.transform("hits__", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
     ids = F.array_sort(F.array_distinct(F.flatten(F.col("hits__.items"))))
     out = out.withColumn("items", ids).withColumn("n_hit", F.size(covered).cast("long"))
