@@ -31,8 +31,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of near-duplicates; documents without an id stay."""
-    first = simhash.classes(docs).where(F.col("component") == F.col("doc_id")).select("doc_id").distinct()
+    """One document, that of the smallest id, of each class of near-duplicates; documents without an id stay.
+
+    Near-duplicates share four fifths or more of their five-word shingles.
+    """
+    first = simhash.verified_classes(docs).where(F.col("component") == F.col("doc_id")).select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
 

@@ -170,6 +170,50 @@ def test_simhash_links_every_radius(spark):
     assert {(r.u, r.v) for r in simhash.links(d, 1).collect()} == want
 
 
+def _jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_dedup_finds_planted_copies(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    vocabulary = ["".join(rnd.choice("abcdefg") for _ in range(6)) for _ in range(3000)]
+    texts, want, apart = [], set(), set()
+    for k in range(60):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randint(150, 500))]
+        copy = list(words)
+        goal = 0.8 + 0.15 * k / 60 if k < 50 else 0.7
+        order = rnd.sample(range(len(words)), len(words))
+        while _jaccard(" ".join(words), " ".join(copy)) > goal:
+            before = list(copy)
+            copy[order.pop()] = "changed"
+        texts += [" ".join(words), " ".join(before if k < 50 else copy)]
+        (want if k < 50 else apart).add(2 * k + 1)
+    assert all(0.8 <= _jaccard(texts[i - 1], texts[i]) <= 0.97 for i in want)
+    # the copies of one text that differ from it and from each other in single words are one class
+    texts += [" ".join([f"w{k}" if k == j else "same%d" % k for k in range(200)]) for j in range(40)]
+    extra = set(range(121, 160))
+    kept = {r.doc_id for r in corpus_pipeline.dedup_near(spark, _docs(spark, [*texts, None, "", " "]), "").collect()}
+    assert set(range(163)) - kept == want | extra | {161, 162}
+
+
+def test_verified_classes_equal_brute_force(spark):
+    texts = _texts()
+    texts += [texts[0] + " and one more", *[f"{texts[71]} {k}" for k in range(30)]]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if _jaccard(texts[i], texts[j]) >= 0.8 and least[i] != least[j]:
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    assert {r.doc_id: r.component for r in simhash.verified_classes(_docs(spark, texts)).collect()} == dict(enumerate(least))
+
+
 def test_fm_index():
     rnd = random.Random(1)
     for _ in range(80):
