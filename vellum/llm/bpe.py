@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Words kept with their ids between blocks; beyond it the cache starts anew.
 CACHE_WORDS = 300_000
-_NESTED_SPACE = re.compile(r"\s \s")
+_NESTED_SPACE = re.compile(r"\s (?:\s|\Z)")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -169,7 +169,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """At a single space between other characters no match of the pattern goes on, so texts are cut there.
 
-        Where white space stands on both sides of a space, a run of white space is one match; such texts go whole.
+        Where white space stands before a space and white space or the text's end after it, a run of white space is one
+        match; such texts go whole.
         """
         cut = [[t] if _NESTED_SPACE.search(t) else self._chunks(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
