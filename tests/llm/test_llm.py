@@ -78,6 +78,19 @@ def test_merge_replay_order_inside_words():
         assert m.encode(words) == [ranks[w].to_bytes(4, "little") if w in ranks else m.alone(w) for w in words]
 
 
+def test_token_counts_encode_once(spark):
+    encoded = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            encoded.add(b.num_rows)
+            yield b
+
+    hist = spark.createDataFrame([(3, 2), (5, 1)], "n_tokens long, n_docs long").mapInArrow(count, "n_tokens long, n_docs long")
+    assert token_counts.suffix_sums(hist).count() == 2 and len(token_counts.suffix_sums(hist).collect()) == 2
+    assert encoded.value == 4
+
+
 def test_token_counts(spark):
     texts = _texts()
     lengths = sorted(len(_tiktoken().encode_ordinary(t or "")) for t in texts)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from vellum.llm import bpe
+from vellum.llm.common import cut
 
 BUCKET = 1024
 
@@ -26,7 +27,8 @@ def histogram(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str =
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """From n_tokens, n_docs to context_limit, n_docs, docs_at_least, tokens_at_least, docs_fitting, truncated_total, total_tokens, quantile."""
-    h = hist.withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tok", F.col("n_tokens") * F.col("n_docs"))
+    # read more than once below; uncut, every reading would encode the corpus again
+    h = cut(hist).withColumn("bucket", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tok", F.col("n_tokens") * F.col("n_docs"))
     after = W.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)
     per_bucket = h.groupBy("bucket").agg(F.sum("n_docs").alias("b_docs"), F.sum("tok").alias("b_tok"))
     offs = per_bucket.select(
