@@ -2,35 +2,61 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Most bytes of an Arrow batch.
+ARROW_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary one is made only where none is set, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary one is made only on a local master where none is set, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back; Spark clears it when the result is no longer used."""
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Spark deletes it with the result if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, else it stays there.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared checkpoint folder and read it back."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that rows of long texts do not fill a task's memory; a smaller bound stays as it is.
+
+    Spark holds a batch several times over (vectors that double, the bytes sent, the texts in Python).
+    """
+    size = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(_BATCH, "64m").lower())
+    if not size or int(size[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[size[2]] > ARROW_BYTES:
+        spark.conf.set(_BATCH, f"{ARROW_BYTES}b")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

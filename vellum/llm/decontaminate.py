@@ -48,8 +48,10 @@ def windows(items: DataFrame, window: int, item_col: str, text_col: str) -> Data
 def contained(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """All columns of ``docs`` and n_words, n_hit, n_items (long), items array<string>, spans array<struct<start,size>>.
 
-    A word is hit if it lies inside any occurrence of a window; items has those with occurring windows.
+    A word is hit if it lies inside any occurrence of a window; items has those with occurring windows. Columns of ``docs`` of
+    these five names are left out.
     """
+    docs = docs.drop("n_words", "n_hit", "n_items", "items", "spans")
     win = cut(windows(items, window, item_col, "text"))
     each = win.select("win", "size", F.posexplode(F.split("win", " ")).alias("off", "word"))
     vocabulary = bounded(cut(each.select("word").distinct()), BOUND)
@@ -74,7 +76,7 @@ def contained(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: st
         .groupBy("doc__")
         .agg(F.collect_set(F.struct("start", "size", "win", "items")).alias("met__"))
     )
-    joined = docs.withColumn("doc__", F.xxhash64(F.col(id_col), text)).join(found.hint("shuffle_hash"), "doc__", "left").drop("doc__")
+    joined = docs.withColumn("doc__", F.xxhash64(F.col(id_col), text)).join(found, "doc__", "left").drop("doc__")
     none = F.array().cast(found.schema["met__"].dataType)
 
     def verified(x: Column) -> Column:

@@ -141,7 +141,8 @@ def near_earlier(docs: DataFrame, distinct: DataFrame, threshold: int, hot: int,
 
 
 def dedup(docs: DataFrame, *, threshold: int = 1, min_chars: int = 10, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with text_col less its removed lines, and two more columns: n_lines, n_removed (long)."""
+    """The rows of ``docs`` with text_col less its removed lines, and two more columns: n_lines, n_removed (long), in place of any of those names."""
+    docs = docs.drop("n_lines", "n_removed")
     lines = _lines(docs, id_col, text_col)
     length = F.length("line")
     index, probes = _keys(F.col("line"), length, threshold)

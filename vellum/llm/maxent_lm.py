@@ -6,8 +6,8 @@ The most frequent tokens are classes of their own, other frequent ones are binne
 classed by a hash of their last letters; inside a class a token has its smoothed share of the class's training tokens.
 
 Training: token counts of all training texts by a groupBy; one pass for observed feature counts, from which the weights
-start; then full-batch gradient updates: each task sums the expected feature counts of its texts under the broadcast weights, a
-shuffle adds the tables up by block, and the driver applies observed - expected, preconditioned by the observed counts.
+start; then full-batch gradient updates: each task sums the expected feature counts of its texts under the broadcast weights, two
+shuffles add the tables up by block, and the driver applies observed - expected, preconditioned by the observed counts.
 What is broadcast is of fixed size: the weights (4 MB) and at most ``HEAD`` frequent tokens' hashes and counts (4 MB).
 Scoring runs in sparse numpy batches; counts of tokens outside that head are joined by a shuffle.
 
@@ -25,9 +25,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.llm.common import cut
+from vellum.llm.common import cut, small_batches
 
 OWN, BINS, TAILS = 15, 9, 8
 CLASSES = OWN + BINS + TAILS
@@ -38,6 +39,8 @@ _OFFSETS = (0, BUCKETS[0], BUCKETS[0] + BUCKETS[1])
 ROWS = sum(BUCKETS) + 1  # the last is the bias
 ROUNDS, RATE, PRIOR, START = 2, 0.35, 8.0, (0.45, 0.35, 0.25)
 _BLOCK, _BATCH = 512, 32768
+#: Different words a task keeps the hashes of, and tables of tasks that are added up at a time.
+KNOWN_WORDS, LEVEL = 200_000, 16
 _END = np.uint64(xxhash.xxh64_intdigest(b""))
 _BEGIN = np.uint64(0x1234567890ABCDEF)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -91,6 +94,38 @@ class Head:
         return at
 
 
+class Words(dict):
+    """Words to numbers, given at first sight; hashes, head places and classes by number. Some 200,000 words, then it starts anew."""
+
+    def __init__(self, head: Head):
+        self.head = head
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.new: list[bytes] = []
+        self.hashes, self.at, self.classes = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = len(self)
+        self.new.append(word)
+        return out
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > KNOWN_WORDS:
+            self._forget()
+        out = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        if self.new:
+            h = np.fromiter(map(xxhash.xxh64_intdigest, self.new), np.uint64, len(self.new))
+            at = self.head.find(h)
+            classes = self.head.classes[at]
+            for i in np.flatnonzero(classes < 0).tolist():
+                classes[i] = tail_class(self.new[i])
+            self.hashes, self.at, self.classes = np.append(self.hashes, h), np.append(self.at, at), np.append(self.classes, classes)
+            self.new = []
+        return out
+
+
 @dataclass
 class Batch:
     """Tokens of consecutive texts: hashes, head places, classes, feature rows, and where each text starts."""
@@ -102,7 +137,7 @@ class Batch:
     starts: np.ndarray
 
 
-def batches(texts: list[str | None], head: Head):
+def batches(texts: list[str | None], known: Words):
     """Batches of whole texts of some 30,000 tokens (or one longer text)."""
     words: list[bytes] = []
     starts: list[int] = []
@@ -110,7 +145,8 @@ def batches(texts: list[str | None], head: Head):
         starts.append(len(words))
         words += tokens(text)
         if len(words) >= _BATCH or k == len(texts) - 1:
-            h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+            number = known.numbers(words)
+            h = known.hashes[number]
             first = np.array(starts)
             one = np.concatenate([[_BEGIN], h[:-1]])
             one[first] = _BEGIN
@@ -118,49 +154,45 @@ def batches(texts: list[str | None], head: Head):
             two[first] = _BEGIN
             with np.errstate(over="ignore"):
                 keys = (one * _M1, (one * _M2) ^ (two * _M3), two * _M2)
-                rows = np.stack([((k * _M1) >> np.uint64(65 - b.bit_length())).astype(np.int32) + o for k, b, o in zip(keys, BUCKETS, _OFFSETS, strict=True)])
-                at = head.find(h)
-            classes = head.classes[at]
-            for i in np.flatnonzero(classes < 0).tolist():
-                classes[i] = tail_class(words[i])
-            yield Batch(h, at, classes, rows, first)
+                rows = np.stack([((k * _M1) >> np.uint64(65 - b.bit_length())).astype(np.intp) + o for k, b, o in zip(keys, BUCKETS, _OFFSETS, strict=True)])
+            yield Batch(h, known.at[number], known.classes[number], rows, first)
             words, starts = [], []
 
 
 def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Classes by tokens: sums over the classes then run along memory."""
     z = weights[rows[0]]
     z += weights[rows[1]]
     z += weights[rows[2]]
     z += weights[-1]
-    z -= z.max(axis=1, keepdims=True)
+    z = np.ascontiguousarray(z.T)
+    z -= z.max(axis=0)
     return z
 
 
-def observed(batch: Batch) -> np.ndarray:
-    """Feature by class counts of a batch."""
-    size = ROWS * CLASSES
-    out = sum(np.bincount(r.astype(np.int64) * CLASSES + batch.classes, minlength=size) for r in batch.rows).reshape(ROWS, CLASSES).astype(np.float64)
-    out[-1] = np.bincount(batch.classes, minlength=CLASSES)
-    return out
+def observed(batch: Batch, into: np.ndarray) -> None:
+    """Add the feature by class counts of a batch."""
+    for r, o, b in zip(batch.rows, _OFFSETS, BUCKETS, strict=True):
+        into[o : o + b] += np.bincount((r - o) * CLASSES + batch.classes, minlength=b * CLASSES).reshape(b, CLASSES)
+    into[-1] += np.bincount(batch.classes, minlength=CLASSES)
 
 
 def expected(batch: Batch, weights: np.ndarray, into: np.ndarray) -> None:
     """Add the model's expected feature by class counts of a batch."""
     p = np.exp(_logits(weights, batch.rows))
-    p /= p.sum(axis=1, keepdims=True)
-    for r in batch.rows:
-        order = np.argsort(r.astype(np.uint16), kind="stable")
-        r = r[order]
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        into[r[first]] += np.add.reduceat(p[order], first, axis=0)
-    into[-1] += p.sum(axis=0)
+    p /= p.sum(axis=0)
+    p = p.astype(np.float64)
+    for r, o, b in zip(batch.rows, _OFFSETS, BUCKETS, strict=True):
+        at = r - o
+        into[o : o + b] += np.stack([np.bincount(at, share, b) for share in p]).T
+    into[-1] += p.sum(axis=1)
 
 
 def class_logs(batch: Batch, weights: np.ndarray) -> np.ndarray:
     """Natural log of P(class | context) of every token."""
     z = _logits(weights, batch.rows)
-    own = z[np.arange(len(z)), batch.classes]
-    return own - np.log(np.exp(z).sum(axis=1))
+    own = z[batch.classes, np.arange(z.shape[1])]
+    return own - np.log(np.exp(z).sum(axis=0))
 
 
 def initial_weights(obs: np.ndarray) -> np.ndarray:
@@ -173,29 +205,43 @@ def initial_weights(obs: np.ndarray) -> np.ndarray:
     return w.astype(np.float32)
 
 
-def _summed(docs: DataFrame, table_of) -> np.ndarray:
-    """Sum of a ROWS x CLASSES table over all texts: one table a task, added up by block in a shuffle."""
+def _summed(docs: DataFrame, head, add_batch) -> np.ndarray:
+    """Sum of a ROWS x CLASSES table over all texts: one table a task, added up by block in two shuffles.
+
+    add_batch(batch, table) adds one batch's part; head: the broadcast head. The first shuffle adds up ``LEVEL`` tasks' tables at a
+    time, so that no task of the second reads every task's table.
+    """
+
+    def rows_of(keys, tables):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([k for _, k in keys], pa.int32()), pa.array(tables, pa.binary())], ["block", "level", "part"])
 
     def per_task(arrow):
-        out = table_of(x for b in arrow for x in [b.column(0).to_pylist()])
+        out, known = None, Words(head.value)
+        for b in arrow:
+            for at in range(0, b.num_rows, 1000):
+                for batch in batches(b.column(0).slice(at, 1000).to_pylist(), known):
+                    out = np.zeros((ROWS, CLASSES)) if out is None else out
+                    add_batch(batch, out)
         if out is not None:
-            parts = [(k, out[at : at + _BLOCK].astype(np.float32).tobytes()) for k, at in enumerate(range(0, ROWS, _BLOCK))]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["block", "part"])
+            level = TaskContext.get().partitionId() // LEVEL
+            cuts = range(0, ROWS, _BLOCK)
+            yield rows_of([(k, level) for k in range(len(cuts))], [out[at : at + _BLOCK].astype(np.float32).tobytes() for at in cuts])
 
     def add(arrow):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple, np.ndarray] = {}
         for b in arrow:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k, level, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 part = np.frombuffer(x, np.float32).astype(np.float64)
-                sums[k] = sums[k] + part if k in sums else part
+                sums[k, level] = sums[k, level] + part if (k, level) in sums else part
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "part"])
+            yield rows_of(sums, [x.astype(np.float32).tobytes() for x in sums.values()])
 
-    kind = "block int, part binary"
-    rows = docs.mapInArrow(per_task, kind).repartition("block").mapInArrow(add, kind).collect()
+    kind = "block int, level int, part binary"
+    some = docs.mapInArrow(per_task, kind).repartition("block", "level").mapInArrow(add, kind)
+    rows = some.withColumn("level", F.lit(0)).repartition("block").mapInArrow(add, kind).collect()
     out = np.zeros((ROWS, CLASSES))
     for r in rows:
-        part = np.frombuffer(bytes(r.part)).reshape(-1, CLASSES)
+        part = np.frombuffer(bytes(r.part), np.float32).reshape(-1, CLASSES)
         out[r.block * _BLOCK : r.block * _BLOCK + len(part)] = part
     return out
 
@@ -203,14 +249,20 @@ def _summed(docs: DataFrame, table_of) -> np.ndarray:
 def token_counts(texts: DataFrame) -> DataFrame:
     """h, k (class outside the head), c: training tokens by hash; texts has one column."""
 
+    def rows_of(c: Counter):
+        h = np.fromiter(map(xxhash.xxh64_intdigest, c), np.uint64, len(c)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array([tail_class(w) for w in c], pa.int32()), pa.array(list(c.values()), pa.int64())], ["h", "k", "c"])
+
     def run(arrow):
+        c: Counter = Counter()
         for b in arrow:
-            for at in range(0, b.num_rows, 4000):
-                c: Counter = Counter()
-                for t in b.column(0).slice(at, 4000).to_pylist():
-                    c.update(tokens(t))
-                h = np.fromiter(map(xxhash.xxh64_intdigest, c), np.uint64, len(c)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([tail_class(w) for w in c], pa.int32()), pa.array(list(c.values()), pa.int64())], ["h", "k", "c"])
+            for t in b.column(0):
+                c.update(tokens(t.as_py()))
+                if len(c) > KNOWN_WORDS:
+                    yield rows_of(c)
+                    c.clear()
+        if c:
+            yield rows_of(c)
 
     return texts.mapInArrow(run, "h long, k int, c long").groupBy("h", "k").agg(F.sum("c").alias("c"))
 
@@ -226,6 +278,7 @@ class Model:
 
 def fit(texts: DataFrame, rounds: int = ROUNDS, head_size: int = HEAD) -> tuple[Model, DataFrame]:
     """The model, and h, c of the training tokens outside its head. texts: one column, the training texts."""
+    small_batches(texts.sparkSession)
     counts = cut(token_counts(texts))
     binned = counts.groupBy(F.floor(F.log2("c") * 64).alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("bin")).collect()
     low, n = 1 << 30, 0
@@ -247,27 +300,11 @@ def fit(texts: DataFrame, rounds: int = ROUNDS, head_size: int = HEAD) -> tuple[
     sc = texts.sparkSession.sparkContext
     seen = sc.broadcast(head)
 
-    def count_table(lists):
-        out = None
-        for texts_ in lists:
-            for batch in batches(texts_, seen.value):
-                out = observed(batch) if out is None else out + observed(batch)
-        return out
-
-    obs = _summed(texts, count_table)
+    obs = _summed(texts, seen, observed)
     weights = initial_weights(obs)
     for _ in range(rounds):
         now = sc.broadcast(weights)
-
-        def expected_table(lists, now=now):
-            out = None
-            for texts_ in lists:
-                for batch in batches(texts_, seen.value):
-                    out = np.zeros((ROWS, CLASSES)) if out is None else out
-                    expected(batch, now.value, out)
-            return out
-
-        gradient = obs - _summed(texts, expected_table)
+        gradient = obs - _summed(texts, seen, lambda batch, into, now=now: expected(batch, now.value, into))
         weights = (weights + RATE * np.clip(gradient / (obs + PRIOR), -2, 2)).astype(np.float32)
     return Model(head, weights, np.log10(np.maximum(mass, 1)), total, types), counts.where(~is_head).select("h", "c")
 
@@ -276,17 +313,20 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, *, id_col: str = "doc_
     """id_col, n_tokens, n_known, train_tokens (long), base_score, score (double: log10) for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = F.col(text_col).cast("string")
-    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("row"), text.alias("text"))
+    small_batches(docs.sparkSession)
+    row = F.struct(F.xxhash64(F.col(id_col), text).alias("a"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("b"))
+    slim = docs.select(F.col(id_col).alias("id"), row.alias("row"), text.alias("text"))
 
     def run(arrow):
         m: Model = shared.value
         none = len(m.head.hashes) - 1
         known = np.append(np.log10(m.head.counts[:-1] + 1), 0.0)
+        words = Words(m.head)
         for b in arrow:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
                 n_tok, n_head, logs, model_logs, tails, numbers = [], [], [], [], [], []
-                for batch in batches(part.column(2).to_pylist(), m.head):
+                for batch in batches(part.column(2).to_pylist(), words):
                     n_tok.append(np.diff(np.append(batch.starts, len(batch.at))))
                     n_head.append(np.add.reduceat((batch.at != none).astype(np.int64), batch.starts))
                     logs.append(np.add.reduceat(known[batch.at], batch.starts))
@@ -302,7 +342,7 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, *, id_col: str = "doc_
                     yield pa.RecordBatch.from_arrays(cols, ["id", "row", "n_tokens", "n_head", "logs", "model_logs", "tail", "number"])
 
     kind = slim.schema["id"].dataType.simpleString()
-    scored = slim.mapInArrow(run, f"id {kind}, row long, n_tokens long, n_head long, logs double, model_logs double, tail array<long>, number array<int>")
+    scored = slim.mapInArrow(run, f"id {kind}, row struct<a:bigint,b:bigint>, n_tokens long, n_head long, logs double, model_logs double, tail array<long>, number array<int>")
     scored = cut(scored)
     apart = scored.select("row", F.explode(F.arrays_zip("tail", "number")).alias("t")).select("row", F.col("t.tail").alias("h"), F.col("t.number").alias("number")).distinct()
     extra = apart.join(rest, "h").groupBy("row").agg(F.sum("number").alias("more_known"), F.sum(F.col("number") * F.log10(F.col("c") + 1)).alias("more_logs"))

@@ -1,6 +1,6 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-A text becomes hashed counts of word shapes (case, digits and the punctuation around a word, runs joined), short words
+A text becomes hashed counts of its words, of word shapes (case, digits and the punctuation around a word, runs joined)
 and coarse figures of length and repetition. The bounded labelled sample gives inverse document frequencies and, through the
 singular vectors of its weighted matrix, a projection to a few dozen latent dimensions. The sample's vectors are
 broadcast (sample x dimensions floats: 1 MB by default); every document's exact cosine to all of them is computed in
@@ -14,14 +14,17 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from vellum.llm.common import small_batches
 
 #: Bound of the labelled sample: rows of least hash. The classifier's only sample; scoring covers all rows.
-SAMPLE, DIMS, LATENT, NEIGHBOURS = 2000, 1024, 48, 15
-_FIGURES = 64  # first columns
+SAMPLE, DIMS, LATENT, NEIGHBOURS = 2000, 4096, 48, 15
+_FIGURES, _SHAPES = 64, 1024  # ends of the first columns: figures of a text, word shapes; the words themselves take the rest
 _SHAPE = bytes(88 if 65 <= b <= 90 else 120 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
 _UPPER = bytes(range(65, 91))
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -29,18 +32,20 @@ _RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 def _feature(word: bytes) -> int:
-    """Columns of a word's shape and of the word itself if it has up to four letters (else column 0), as one number."""
-    shape = _RUN.sub(rb"\1\1", word.translate(_SHAPE)) if len(word) < 64 else b"long"
+    """Columns of a word's shape and of the word itself, letters' case and marks around it aside, as one number."""
+    shape = _RUN.sub(rb"\1\1", word.translate(_SHAPE))
     size = min(len(word), 40) // 4
-    span = DIMS - _FIGURES
-    return (_FIGURES + zlib.crc32(b"%d %b" % (size, shape)) % span) * DIMS + (_FIGURES + zlib.crc32(word.lower()) % span if len(word) <= 4 else 0)
+    bare = word.lower().strip(_SIGNS) or word
+    return (_FIGURES + zlib.crc32(b"%d %b" % (size, shape)) % (_SHAPES - _FIGURES)) * DIMS + _SHAPES + zlib.crc32(bare) % (DIMS - _SHAPES)
 
 
 class Features(dict):
     """Words to numbers of their columns, worked out at first sight."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = out = _feature(word)
+        out = _feature(word)
+        if len(word) <= 64:
+            self[word] = out
         return out
 
 
@@ -54,7 +59,6 @@ def features(text: str | None, cache: Features) -> np.ndarray:
         cols = np.fromiter(map(cache.__getitem__, words), np.int64, n)
         out += np.bincount(cols // DIMS, minlength=DIMS)
         out += np.bincount(cols % DIMS, minlength=DIMS)
-        out[:_FIGURES] = 0
         out *= 100.0 / n
         np.log1p(out, out)
     again = sum(map(bytes.__eq__, words, words[1:])) / n if n else 0.0
@@ -75,8 +79,10 @@ class Voter:
         self.prior = float(y.mean()) if len(y) else 0.5
         self.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
         weighted = self._weigh(x).astype(np.float64)
-        _, vectors = np.linalg.eigh(weighted.T @ weighted)
-        self.project = vectors[:, ::-1][:, :latent].astype(np.float32)
+        # right singular vectors by way of the sample's inner products, whose size is bounded by the sample
+        values, vectors = np.linalg.eigh(weighted @ weighted.T)
+        top = np.flatnonzero(values > 1e-9)[::-1][:latent]
+        self.project = (weighted.T @ (vectors[:, top] / np.sqrt(values[top]))).astype(np.float32)
         self.known = self._unit(self._weigh(x) @ self.project)
 
     def _weigh(self, x: np.ndarray) -> np.ndarray:
@@ -109,13 +115,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("id", F.lit(7)), "id", "y")
         .limit(sample)
     )
+    small_batches(docs.sparkSession)
+    # documents that repeat an id with another text are one labelled row too, so the sample stays bounded
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
 
     def run(batches):
         cache = Features()
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([features(t, cache).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "y", "x"]
+                [batch.column(0), batch.column(2), pa.array([features(t.as_py(), cache).tobytes() for t in batch.column(1)], pa.binary())], ["id", "y", "x"]
             )
 
     rows = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, y int, x binary").orderBy("id", "y").collect()
@@ -123,23 +132,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return Voter(x, np.array([r.y for r in rows], np.float32))
 
 
-def score(docs: DataFrame, voter: Voter, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """id_col (or the columns ``keep``) and score double for every row."""
-    model = docs.sparkSession.sparkContext.broadcast(voter)
-    columns = keep or [id_col]
-    slim = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *[F.col(text_col).cast("string").alias("text_")] * (text_col not in columns))
-    at_text = columns.index(text_col) if text_col in columns else len(columns)
+def scorer(spark: SparkSession, voter: Voter) -> Callable[[Column], Column]:
+    """A column function from texts to scores; only texts travel to Python."""
+    small_batches(spark)
+    model = spark.sparkContext.broadcast(voter)
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache = Features()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                if len(cache) > 300_000:
+        for texts in batches:
+            out = []
+            for at in range(0, len(texts), 500):
+                if len(cache) > 200_000:
                     cache.clear()
-                x = np.stack([features(t, cache) for t in part.column(at_text).to_pylist()])
-                cols = [*part.columns[: len(columns)], pa.array(model.value.score(x), pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, [*part.schema.names[: len(columns)], "score_"])
+                x = np.stack([features(t.as_py(), cache) for t in texts.slice(at, 500)])
+                out.append(model.value.score(x))
+            yield pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+
+    return lambda text: scores(text.cast("string"))
+
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields[: len(columns)]) + ", score_ double"
-    return slim.mapInArrow(run, schema).toDF(*columns, "score")
+def score(docs: DataFrame, voter: Voter, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col and score double for every row."""
+    return docs.select(F.col(id_col), scorer(docs.sparkSession, voter)(F.col(text_col)).alias("score"))

@@ -21,16 +21,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from vellum.llm.common import bounded, components, cut
+from vellum.llm.common import bounded, components, cut, small_batches
 
 SEED = 42
 
 #: At similarity 0.8 a pair shares no subset of four orders in twenty with probability (1 - 0.8^4)^20 = 0.00003.
 BANDS, ROWS = 20, 4
-#: Texts of a subset's group that all others of the group are held against.
-CENTRES = 16
+#: Texts of a subset's group that the others are held against at a time, in at most so many rounds.
+CENTRES, ROUNDS = 16, 8
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 
 
@@ -64,11 +64,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and fp long (the fingerprint's 64 bits) for every row."""
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     return slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
@@ -88,7 +89,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     Of the fingerprints around a variant, each is paired with the smallest one; where that pair is further apart than
     the radius (odd radii only), all pairs around the variant, a bounded number, are verified instead.
     """
-    distinct = fps.select("fp").distinct()
+    # dealt out, since adaptive execution would read the few bytes of the fingerprints in a task or two and grow them there
+    distinct = fps.select("fp").distinct().repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     masks = F.array(*[F.lit(m).cast("long") for m in ball_masks(-(-radius // 2))])
     met = (
         distinct.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
@@ -134,6 +136,7 @@ def _shingle_set(text: str, shingle: int) -> set[bytes]:
 
 def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (u, v: keys of ``docs``, columns key and text) whose sets of shingles have the Jaccard similarity or more."""
+    small_batches(docs.sparkSession)
     pairs = cut(pairs)
     ids = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
     texts = cut(docs.join(bounded(ids, 2_000_000), "key").groupBy("key").agg(F.first("text").alias("text")))
@@ -142,16 +145,19 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, left, keep = batch.slice(at, 500), {}, []
-                us, vs, lefts, rights = (part.column(n) for n in ("u", "v", "a", "b"))
-                for u, x, y in zip(us.to_pylist(), lefts, rights, strict=True):
-                    if u not in left:
-                        left[u] = _shingle_set(x.as_py(), shingle)
-                    p, q = left[u], _shingle_set(y.as_py(), shingle)
-                    both = len(p & q)
-                    keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
-                yield pa.RecordBatch.from_arrays([us, vs], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            left, held, keep = {}, 0, []  # sets of the texts u, some MB of text at a time
+            us, vs, lefts, rights = (batch.column(n) for n in ("u", "v", "a", "b"))
+            for u, x, y in zip(us.to_pylist(), lefts, rights, strict=True):
+                if u not in left:
+                    text = x.as_py()
+                    held += len(text)
+                    if held > 1 << 20:
+                        left, held = {}, len(text)
+                    left[u] = _shingle_set(text, shingle)
+                p, q = left[u], _shingle_set(y.as_py(), shingle)
+                both = len(p & q)
+                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([us, vs], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return cut(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
 
@@ -159,17 +165,18 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
 def verified_classes(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, component: the smallest id reachable over verified pairs, for every row.
 
-    First every text of a subset's group is held against the group's smallest. Where a group then still has texts of several
-    components, texts of different components are held against each other, up to ``CENTRES`` of the group at a time: all
-    pairs of smaller groups, and a bounded number for each text of larger ones.
+    First every text of a subset's group is held against the group's smallest. Where a group then has texts of several components,
+    each text outside the group's largest component is held against the group's texts of other components, some ``CENTRES`` of
+    them at a time, so that what one round links is not compared in the next. Every pair of a group is so compared or linked.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 hashes = [shingles(t.as_py(), shingle) for t in part.column(2)]
                 fps = np.array([_majority(h) for h in hashes], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps), pa.array([subsets(h) for h in hashes], pa.list_(pa.int64()))], ["id", "key", "fp", "bands"])
@@ -189,16 +196,21 @@ def verified_classes(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     tried = cut(stars[0].unionByName(stars[1]).unionByName(stars[2]).where("u <> v").distinct())
     linked = verified(slim, tried, shingle, similarity)
     member = components(linked)
-    label = nodes.select("key").join(member.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
-    apart = groups.join(label, "key")
-    mixed = apart.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    open_ = cut(apart.join(mixed, "band"))
-    place = W.partitionBy("band").orderBy(F.xxhash64("key", "band"), "key")
-    centre = open_.withColumn("place", F.row_number().over(place)).where(F.col("place") <= CENTRES).select("band", F.col("key").alias("ckey"), F.col("root").alias("croot"))
-    more = open_.join(centre, "band").where("root <> croot").select(F.least("key", "ckey").alias("u"), F.greatest("key", "ckey").alias("v")).distinct()
-    later = verified(slim, more.join(tried, ["u", "v"], "left_anti"), shingle, similarity)
-    if not later.isEmpty():
-        member = components(linked.unionByName(later))
+    labels = lambda: nodes.select("key").join(member.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    held = groups.join(labels(), "key")
+    sizes = held.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
+    slots = F.least(F.ceil(F.col("minor") / CENTRES), F.lit(ROUNDS))
+    open_ = cut(held.join(mixed, "band").select("band", "key", F.when(F.col("root") != F.col("major"), F.pmod(F.xxhash64("key", "band"), slots)).alias("slot")))
+    for k in range(open_.agg(F.coalesce(F.max("slot"), F.lit(-1)) + 1).first()[0]):
+        now = open_.join(labels(), "key")
+        centre = now.where(F.col("slot") == k).select("band", F.col("key").alias("ckey"), F.col("root").alias("croot"))
+        more = now.join(centre, "band").where("root <> croot").select(F.least("key", "ckey").alias("u"), F.greatest("key", "ckey").alias("v")).distinct()
+        more = cut(more.join(tried, ["u", "v"], "left_anti"))
+        later = verified(slim, more, shingle, similarity)
+        if not later.isEmpty():
+            tried, linked = tried.unionByName(more), linked.unionByName(later)
+            member = components(linked)
     rooted = nodes.join(member.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     known = rooted.join(lowest, "root").select("key", "component")
