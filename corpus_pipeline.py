@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns
 of ``documents``. The driver of the stages stores each result as Parquet and rereads it for the next.
+
+Defined results: a null text counts as empty in every stage; repeated rows (same id, same text) stay or go together, but near-dedup
+keeps rows of the class's smallest id, so repeats of that id stay; rows without an id stay in near-dedup; empty tables give no
+rows; other columns are carried along, whatever they are called.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum.llm import bpe, decontaminate, line_dedup, quality, simhash
-from vellum.llm.common import stored, table
+from vellum.llm.common import delete, new_path, table
 from vellum.llm.queries import RANKS
 
 THRESHOLD = 0.3
@@ -21,7 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier does not reject; it learns from the labels outside the held-out fifth."""
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
     voter = quality.fit(docs, table(spark, sf_dir, "labels").where(learn))
-    return quality.score(docs, voter, keep=docs.columns).where(F.col("score") >= THRESHOLD).drop("score")
+    return docs.where(quality.scorer(spark, voter)(F.col("text")) >= THRESHOLD)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +51,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian uint32), round_trip: whether the ids decode to the text."""
-    coded = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decoded=True, text=True)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select("doc_id", "n_tokens", "ids", same.alias("round_trip"))
+    return bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, round_trip=True)
 
 
 STAGES = [
@@ -65,9 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    """All stages one after another; a stage's stored result is deleted once its successor's is stored."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = new_path(spark)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            delete(spark, last)
+        last = path
+    return STAGES[-1][1](spark, docs, sf_dir)
