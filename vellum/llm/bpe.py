@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from vellum.llm.common import small_batches
 
 #: Words kept with their ids between blocks; beyond it the cache starts anew.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 _NESTED_SPACE = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -173,39 +173,47 @@ class Encoder:
         self.replay = MergeReplay(ranks)
         self.find = regex.compile(pattern).findall
         self.whole = pattern != PATTERN  # what holds of spaces in the public pattern need not hold in others
-        self.cache: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}  # ids of chunks that a space stands before, that space included
+        self.first: dict[str, bytes] = {}  # of chunks at a text's start, and of texts that go whole
         self.token = self.replay.token
 
-    def _learn(self, chunks) -> None:
-        """Enter the ids of new chunks; a chunk is a stretch of text that no match of the pattern crosses."""
-        new = [c for c in chunks if c not in self.cache]
-        found = [self.find(c) for c in new]
+    def _parts(self, text: str) -> list[str]:
+        """A text cut at its spaces; its first part stands for itself, each other part for a space and itself.
+
+        At a single space between other characters no match of the pattern goes on. Where white space stands before a space and
+        white space or the text's end after it, a run of white space is one match; such texts go whole.
+        """
+        return [text] if self.whole or _NESTED_SPACE.search(text) else text.split(" ")
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, stretches of text that no match of the pattern crosses."""
+        found = [self.find(c) for c in chunks]
         words = list({w for ws in found for w in ws})
         code = dict(zip(words, self.replay.encode([w.encode() for w in words]), strict=True))
-        self.cache.update((c, b"".join([code[w] for w in ws])) for c, ws in zip(new, found, strict=True))
+        return [b"".join([code[w] for w in ws]) for ws in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """At a single space between other characters no match of the pattern goes on, so texts are cut there.
-
-        Where white space stands before a space and white space or the text's end after it, a run of white space is one
-        match; such texts go whole.
-        """
-        cut = [[t] if self.whole or _NESTED_SPACE.search(t) else self._chunks(t) for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        self._learn({c for cs in cut for c in cs})
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, cs)) for cs in cut]
-        for cs in cut:
-            if len(cs) == 1 and len(cs[0]) > 200:  # whole texts don't come again
-                self.cache.pop(cs[0], None)
+        """Ids of a block of texts. A text's parts are taken twice rather than held for all texts at once."""
+        if len(self.after) > CACHE_WORDS:
+            self.after.clear()
+        new: set[str] = set()
+        starts: set[str] = set()
+        for t in texts:
+            first, *rest = self._parts(t)
+            starts.add(first)
+            new |= set(rest).difference(self.after)
+        chunks, heads = list(new), list(starts.difference(self.first))
+        got = self._ids([*(" " + c for c in chunks), *heads])
+        self.after.update(zip(chunks, got, strict=False))
+        self.first.update(zip(heads, got[len(chunks) :], strict=True))
+        out = []
+        for t in texts:
+            first, *rest = self._parts(t)
+            out.append(b"".join([self.first[first], *map(self.after.__getitem__, rest)]))
+        if len(self.first) > 10_000 or any(len(h) > 200 for h in heads):
+            self.first = {}
         return out
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        return [first, *[" " + c for c in rest]] if first else [" " + c for c in rest]
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, memoryview(ids).cast("I")))
 
@@ -232,13 +240,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
             texts = batch.column(1).to_pylist()
             got = enc.encode(texts)
             cols = [batch.column(0), pa.array([len(x) // 4 for x in got], pa.int64())]
-            back = [enc.decode(x) for x in got] if decoded or round_trip else []
             if ids:
                 cols.append(pa.array(got, pa.binary()))
             if decoded:
-                cols.append(pa.array(back, pa.binary()))
+                cols.append(pa.array([enc.decode(x) for x in got], pa.binary()))
             if round_trip:
-                cols.append(pa.array([x == t.encode() for x, t in zip(back, texts, strict=True)], pa.bool_()))
+                cols.append(pa.array([enc.decode(x) == t.encode() for x, t in zip(got, texts, strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["id", "n_tokens", *["ids"] * ids, *["decoded"] * decoded, *["round_trip"] * round_trip]

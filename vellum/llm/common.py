@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 #: Most bytes of an Arrow batch.
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 2 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
