@@ -28,7 +28,7 @@ CODE = r"```[\s\S]*?```|`[^`\n]{10,}`"
 LABEL = {"documented": r"^[A-Z]{1,4}[^A-Za-z]*$", "as_written": r"^[A-Z]{1,4}[^a-z]*$"}
 #: A text is in capitals if it has more than so many characters, and more than this share of its letters are capitals.
 CAPS_LENGTH, CAPS_SHARE = 10, 0.70
-_CODE_JAVA = CODE.replace(r"[\s\S]", "(?s:.)")
+_CODE_JAVA = java(CODE)
 
 
 @F.pandas_udf(T.StringType())

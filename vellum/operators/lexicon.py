@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.functions import validators
 from vellum.operators import lexicon_data as data
-from vellum.operators.rules import FINDING, finding
+from vellum.operators.rules import FINDING, STEP, finding
 
 _STOP = data.STOP_WORDS
 #: ASCII word edges around a term; terms begin and end with letters.
@@ -15,7 +15,7 @@ _FROM, _TO = "(?i)(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 def term_findings(text: Column) -> Column:
     """The first hit of each term, in the terms' order. A category none of whose terms stands in the text costs one search."""
-    parts, order = [], 2_000_000
+    parts, order = [], 200 * STEP
     for category, terms in data.TERMS.items():
         label, safe = data.TERM_LABEL.get(category, (None, "[REDACTED]"))
         before, _, after = safe.partition("{}")
@@ -130,7 +130,7 @@ def trigger_finding(words: Column, hit: Column) -> Column:
         ok = (x["span"] != "") & plausible(x["neat"], hit["category"]) & (hit["needs"].isNull() | F.call_function("rlike", F.lower(x["span"]), hit["needs"]))
         value = F.coalesce(safe, F.concat(F.substring(x["neat"], 1, 1), F.lit("***")))
         raw, safe_version = F.concat_ws(" ", x["trigger"], x["span"]), F.concat_ws(" ", x["trigger"], value)
-        return F.when(ok, finding(F.concat(F.lit("trigger_"), hit["category"]), label, hit["risk"], raw, safe_version, None, "B2_trigger", hit["k"] + 3_000_000))
+        return F.when(ok, finding(F.concat(F.lit("trigger_"), hit["category"]), label, hit["risk"], raw, safe_version, None, "B2_trigger", hit["k"] + 300 * STEP))
 
     # one step of transform binds a value, which is then read many times
     bind = lambda value, use: F.get(F.transform(F.array(value), use), 0)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 
 def safe_text(text: Column, findings: Column) -> Column:
     """All literal occurrences of the findings' matches replaced, longest match first, each in what the last left."""
-    order = lambda a, b: F.when(F.length(a["raw_match"]) != F.length(b["raw_match"]), F.length(b["raw_match"]) - F.length(a["raw_match"])).otherwise(a["ord"] - b["ord"])
+    order = lambda a, b: F.when(F.length(a["raw_match"]) != F.length(b["raw_match"]), F.length(b["raw_match"]) - F.length(a["raw_match"])).otherwise(F.signum(a["ord"] - b["ord"]).cast("int"))
     swap = lambda acc, f: F.when(f["raw_match"] != "", F.replace(acc, f["raw_match"], f["safe_version"])).otherwise(acc)
     return F.aggregate(F.array_sort(findings, order), F.coalesce(text, F.lit("")), swap)
 

@@ -35,13 +35,17 @@ def key(raw: Column) -> Column:
 
 
 def merge(findings: Column, by=key) -> Column:
-    """One finding a key: the riskiest, of equals the first; it stands where the key first stood."""
+    """One finding a key: the riskiest, of equals the first; it stands where the key first stood.
+
+    Findings sorted by key, risk and place have each key's best one first; places sorted by key have each key's first one first.
+    """
+    bind = lambda value, use: F.get(F.transform(F.array(value), use), 0)  # noqa: E731  so that a sorted array is sorted once
+    heads = lambda a: F.filter(a, lambda x, j: (j == 0) | (F.get(a, j - 1)["k"] != x["k"]))
+    ranked = F.array_sort(F.transform(findings, lambda f, i: F.struct(by(f["raw_match"]).alias("k"), (-rank(f["risk"])).alias("r"), i.alias("i"), f.alias("f"))))
+    places = F.array_sort(F.transform(findings, lambda f, i: F.struct(by(f["raw_match"]).alias("k"), i.alias("i"))))
+    merged = F.zip_with(bind(ranked, heads), bind(places, heads), lambda b, p: F.struct(p["i"].alias("i"), b["f"].alias("f")))
     keys = F.transform(findings, lambda f: by(f["raw_match"]))
-    firsts = F.filter(F.transform(findings, lambda f, i: F.struct(i.alias("i"), by(f["raw_match"]).alias("k"))), lambda x: F.array_position(keys, x["k"]) == x["i"] + 1)
-    best = lambda x: F.reduce(
-        F.filter(findings, lambda f: by(f["raw_match"]) == x["k"]), F.get(findings, x["i"]), lambda a, f: F.when(rank(f["risk"]) > rank(a["risk"]), f).otherwise(a)
-    )
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), findings).otherwise(F.transform(firsts, best))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), findings).otherwise(F.transform(F.array_sort(merged), lambda x: x["f"]))
 
 
 def base_score(pattern_id: Column) -> Column:

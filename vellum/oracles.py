@@ -93,11 +93,17 @@ def luhn(d: str) -> str:
 PLACE = f"regexp_matches(lower({{}}), {s('|'.join(validators.SHORTEST_PLACES))})"
 
 
+def clean(m: str) -> str:
+    return f"trim(regexp_replace(trim({m}), '^[\"''`]|[\"''`]$', '', 'g'))"
+
+
 def passes(predicate: str | None, m: str) -> str:
     d = _digits(m)
-    full = {"email": validators.EMAIL, "jwt": validators.JWT, "ipv4": validators.IPV4, "ipv6": validators.IPV6, "mac": validators.MAC}
+    if predicate == "email":
+        return f"(regexp_full_match({clean(m)}, {s(validators.EMAIL)}) AND length(split_part({clean(m)}, '@', 1)) <= 64 AND length(split_part({clean(m)}, '@', 2)) <= 254)"
+    full = {"jwt": validators.JWT, "ipv4": validators.IPV4, "ipv6": validators.IPV6, "mac": validators.MAC}
     if predicate in full:
-        return f"regexp_full_match(trim({m}), {s(full[predicate])})"
+        return f"regexp_full_match({clean(m)}, {s(full[predicate])})"
     return {
         None: "true",
         "card": f"(length({d}) BETWEEN 13 AND 19 AND {luhn(d)})",
@@ -134,12 +140,12 @@ def rule_rows(rule: rules.Rule, source: str, keys: str, text: str) -> str:
     found = f"SELECT {keys}, {text} AS t_, regexp_extract_all({text}, {s(re2(rule.pattern))}) AS ms FROM {source}"
     kept = f"SELECT {keys}, list_filter(ms, lambda m: {passes(rule.predicate, 'm')}) AS ks FROM ({found})"
     each = f"SELECT {keys}, unnest(ks) AS raw_match, unnest(range(len(ks))) AS i FROM ({kept})"
-    return f"SELECT {keys}, '{rule.id}' AS pattern_id, '{rule.risk}' AS risk, raw_match, {safe(rule.id, 'raw_match')} AS safe_version, true AS validated, ({k * 100_000} + i)::INT AS ord FROM ({each})"
+    return f"SELECT {keys}, '{rule.id}' AS pattern_id, '{rule.risk}' AS risk, raw_match, {safe(rule.id, 'raw_match')} AS safe_version, true AS validated, ({k * rules.STEP} + i)::BIGINT AS ord FROM ({each})"
 
 
 def term_rows(source: str, keys: str) -> str:
     """First hits of the terms in text_nlp."""
-    values, order = [], 2_000_000
+    values, order = [], 200 * rules.STEP
     for category, terms in data.TERMS.items():
         _, made = data.TERM_LABEL.get(category, ("", "[REDACTED]"))
         before, _, after = made.partition("{}")
@@ -173,7 +179,7 @@ def trigger_rows(source: str, keys: str) -> str:
  WHEN 'health' THEN regexp_matches(lower(neat), {s('|'.join(data.TERMS['medical']))}) WHEN 'religion' THEN regexp_matches(lower(neat), {s('|'.join(data.TERMS['nationality_religion']))})
  WHEN 'financial' THEN regexp_matches(neat, '[0-9]') OR regexp_matches(lower(neat), {s('|'.join(data.TERMS['financial']))}) ELSE true END"""
     return f"""SELECT {keys}, 'trigger_' || category AS pattern_id, risk, trig || ' ' || span AS raw_match, trig || ' ' || coalesce(safe, left(neat, 1) || '***') AS safe_version,
- NULL::BOOLEAN AS validated, (3000000 + k)::INT AS ord FROM (
+ NULL::BOOLEAN AS validated, ({300 * rules.STEP} + k)::BIGINT AS ord FROM (
  SELECT *, array_to_string(list_transform(string_split(lower(span), ' '), lambda w, i: CASE WHEN i > 1 AND list_contains({_list(data.MINOR_WORDS)}, w) THEN w ELSE upper(w[1:1]) || w[2:] END), ' ') AS neat FROM (
  SELECT *, trim(regexp_replace(array_to_string(after_[:upto], ' '), '[.,!?;:]$', '')) AS span FROM (
  SELECT *, least(coalesce(list_position(list_transform(after_, lambda w: list_contains({stop}, lower(regexp_replace(w, '[.,!?;:''"]', '', 'g')))), true) - 1, 99),

@@ -126,20 +126,31 @@ def norm_regex_layer(spark, sf_dir):
 # --- pattern rules
 
 _FINDING = ["pattern_id", "risk", "raw_match", "safe_version", "validated", "ord"]
-_REAL = {"credit_card", "api_key", "email", "phone_intl", "ipv4", "ph_address"}  # rules with hits in documents
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts the rules are for: prompts, documents and turns of conversations."""
+    turns = spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text"))
+    parts = [("prompts", prompts(spark, sf_dir)), ("documents", docs(spark, sf_dir)), ("conversations", turns)]
+    every = [d.select(F.lit(name).alias("origin"), "doc_id", "text") for name, d in parts]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+TEXTS = f"(SELECT 'prompts' AS origin, doc_id, text FROM {PROMPTS} UNION ALL SELECT 'documents', doc_id, text FROM documents UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations)"
 for _rule in rules.RULES:
 
     def _run(spark, sf_dir, rule=_rule):
-        source = docs(spark, sf_dir) if rule.id in _REAL else prompts(spark, sf_dir)
+        source = texts(spark, sf_dir)
         if rule.id == "source_code":
             source = source.withColumn("text", F.concat(F.lit("run `"), "text", F.lit("` and ```x\ny```")))
-        return plans.each(source, rules.rule_findings(F.col("text"), rule, rules.RULES.index(rule)), "doc_id").select("doc_id", *_FINDING)
+        found = rules.rule_findings(F.col("text"), rule, rules.RULES.index(rule))
+        return plans.each(source, found, "origin", "doc_id").select("origin", "doc_id", *_FINDING)
 
     QUERIES[f"det_{_rule.id}"] = _run
-    _source = "documents" if _rule.id in _REAL else PROMPTS
+    _source = TEXTS
     if _rule.id == "source_code":
-        _source = f"(SELECT doc_id, 'run `' || text || '` and ```x' || chr(10) || 'y```' AS text FROM {PROMPTS})"
-    ORACLES[f"det_{_rule.id}"] = o.rule_rows(_rule, _source, "doc_id", "text")
+        _source = f"(SELECT origin, doc_id, 'run `' || text || '` and ```x' || chr(10) || 'y```' AS text FROM {TEXTS})"
+    ORACLES[f"det_{_rule.id}"] = o.rule_rows(_rule, _source, "origin, doc_id", "text")
 
 
 @register(
@@ -235,7 +246,10 @@ def legacy_risk(spark, sf_dir):
     return plans.legacy_scan(docs(spark, sf_dir)).select("doc_id", "risk_level", F.size("findings").alias("n_findings"))
 
 
-@register(None)
+@register(
+    f"""{_PROMPT_ALL}, l AS (SELECT doc_id, list({{'m': raw_match, 'v': safe_version}} ORDER BY length(raw_match) DESC, ord) AS fs FROM f WHERE raw_match <> '' GROUP BY doc_id)
+SELECT n.doc_id, CASE WHEN fs IS NULL THEN n.text ELSE list_reduce(list_prepend({{'m': n.text, 'v': ''}}, fs), lambda a, x: {{'m': replace(a.m, x.m, x.v), 'v': ''}}).m END AS safe_text FROM n LEFT JOIN l USING (doc_id)"""
+)
 def redact_prompts(spark, sf_dir):
     return plans.scan(prompts(spark, sf_dir)).select("doc_id", "safe_text")
 
@@ -266,9 +280,6 @@ def source_pages(spark, sf_dir):
     return pages_text(table(spark, sf_dir, "pages")).select("page_id", "text")
 
 
-_MAX_RULES = f"f AS ({o.all_rows('n', 'doc_id', triggers=False)})"
-
-
 @register(
     f"{_SCORED}, pr(risk_level, label, badge, show_bar, clickable, show_safe, n_actions) AS (VALUES {', '.join(f'({s(r[0])}, {s(r[1])}, {s(r[2])}, {str(r[4]).lower()}, {str(r[5]).lower()}, {str(r[6]).lower()}, {len(r[7])})' for r in policy.PRESENTATION)}) "
     "SELECT doc_id, risk_level, label, badge, show_bar, clickable, show_safe, n_actions, n_findings::VARCHAR || CASE WHEN n_findings = 1 THEN ' sensitive item' ELSE ' sensitive items' END AS bar_text, risk_level = 'none' AS submit_allowed FROM z JOIN pr USING (risk_level)"
@@ -280,15 +291,41 @@ def risk_presentation(spark, sf_dir):
     return d.select("doc_id", "risk_level", *shown, F.size("p.actions").alias("n_actions"), policy.bar_text(F.col("n")).alias("bar_text"), "submit_allowed")
 
 
-_KINDS = " ".join(f"WHEN pattern_id IN {o._in(ids)} THEN {s(k)}" for k, ids in policy.INFORMATION.items())
+_KINDS = " ".join(f"WHEN {s(k)} THEN {s(v[2])}" for k, v in policy.REASONS.items())
 
 
-@register(f"{_PROMPT_ALL} SELECT CASE {_KINDS} ELSE 'Sensitive Information' END AS information, pattern_id, count(*) AS n FROM f GROUP BY ALL")
+@register(f"{_PROMPT_ALL} SELECT CASE pattern_id {_KINDS} ELSE 'Sensitive Information' END AS information, pattern_id, count(*) AS n FROM f GROUP BY ALL")
 def explain_findings(spark, sf_dir):
     found = _found(plans.findings(prompts(spark, sf_dir)), "findings", "doc_id")
     return found.groupBy(policy.explanation(F.col("pattern_id")).alias("information"), "pattern_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+_REASONS = " ".join(f"WHEN {s(k)} THEN {s(v[0])} || chr(10) || 'Rule: ' || {s(v[1])} || chr(10) || 'Category: ' || {s(v[2])} || '.'" for k, v in policy.REASONS.items())
+
+
+@register(f"{_PROMPT_ALL} SELECT doc_id, pattern_id, CASE pattern_id {_REASONS} ELSE {s(policy.OTHER_REASON)} END AS reason FROM f")
+def explain_reasons(spark, sf_dir):
+    found = _found(plans.findings(prompts(spark, sf_dir)), "findings", "doc_id")
+    return found.select("doc_id", "pattern_id", policy.reason(F.col("pattern_id")).alias("reason"))
+
+
+_STATE = "CASE event_id % 8 WHEN 0 THEN 'active' WHEN 1 THEN 'scanning' WHEN 2 THEN 'none' WHEN 3 THEN 'low' WHEN 4 THEN 'medium' WHEN 5 THEN 'moderate' WHEN 6 THEN 'high' ELSE 'other' END"
+
+
+@register(
+    f"""SELECT state, status, CASE status WHEN 'scanning' THEN 'Scanning' WHEN 'high' THEN 'High risk detected' WHEN 'moderate' THEN 'Moderate risk detected' WHEN 'low' THEN 'Low risk detected' WHEN 'none' THEN 'No sensitive data detected' ELSE 'Waiting for activity…' END AS label,
+ CASE status WHEN 'none' THEN 'Safe' ELSE upper(status[1:1]) || status[2:] END AS panel_badge, status = 'high' AS can_copy,
+ CASE state WHEN 'active' THEN 'ON' WHEN 'scanning' THEN '…' WHEN 'low' THEN '!' WHEN 'medium' THEN '!' WHEN 'high' THEN '!' ELSE '' END AS badge,
+ CASE state WHEN 'active' THEN '#9E9E9E' WHEN 'scanning' THEN '#9E9E9E' WHEN 'low' THEN '#F9A825' WHEN 'medium' THEN '#F57C00' WHEN 'high' THEN '#D32F2F' ELSE '#388E3C' END AS colour,
+ CASE state WHEN 'scanning' THEN '#9ca3af' WHEN 'low' THEN '#eab308' WHEN 'moderate' THEN '#f97316' WHEN 'high' THEN '#ef4444' ELSE '#22c55e' END AS dot, count(*) AS n
+FROM (SELECT {_STATE} AS state, CASE WHEN state IN ('scanning', 'high', 'moderate', 'low', 'none') THEN state ELSE 'idle' END AS status FROM events) GROUP BY ALL"""
+)
+def panel_status(spark, sf_dir):
+    d = table(spark, sf_dir, "events").select(F.expr(_STATE).alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    d = d.withColumns({"p": policy.panel(F.col("state")), "b": policy.badge(F.col("state")), "t": policy.theme(F.col("state"))})
+    return d.select("state", "p.status", "p.label", F.col("p.badge").alias("panel_badge"), "p.can_copy", F.col("b.text").alias("badge"), "b.colour", "t.dot", "n")
+
+
 _WORDS = "len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))"
 
 
@@ -333,6 +370,54 @@ def stream_badge(spark, sf_dir):
     return ev.badges(_events(spark, sf_dir))
 
 
+_ACTS = "SELECT event_id, ts, user_id AS tab_id, CASE WHEN event_id % 23 = 0 THEN 'send_anyway' WHEN event_id % 4 = 3 THEN 'result' WHEN event_id % 4 = 2 THEN 'submit' ELSE 'input' END AS type, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE event_type END AS text, CASE WHEN value < 30 THEN 'none' WHEN value < 60 THEN 'moderate' ELSE 'high' END AS risk_level FROM {}"
+_A = f"a AS ({_ACTS.format('events')})"
+
+
+def _acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_ACTS.format("{t}"), t=table(spark, sf_dir, "events"))
+
+
+@register(
+    f"""WITH {_A}, i AS (SELECT *, lead(CASE WHEN type = 'input' THEN ts END) OVER (PARTITION BY tab_id, type ORDER BY ts, event_id) AS nxt FROM a WHERE type IN ('input', 'send_anyway')),
+f AS (SELECT *, CASE WHEN type = 'input' THEN ts + INTERVAL 2 HOUR ELSE ts END AS at_ FROM i WHERE type = 'send_anyway' OR nxt IS NULL OR nxt >= ts + INTERVAL 2 HOUR),
+l AS (SELECT *, lag(CASE WHEN type = 'input' AND trim(text) <> '' THEN text ELSE '' END) OVER (PARTITION BY tab_id ORDER BY at_, event_id) AS last_ FROM f)
+SELECT tab_id, ts, event_id, 'PENDING' AS state FROM a WHERE type = 'input' UNION ALL SELECT tab_id, ts, event_id, 'DONE' FROM a WHERE type = 'result'
+UNION ALL SELECT tab_id, at_, event_id, CASE WHEN trim(text) = '' THEN 'IDLE' WHEN text = last_ THEN 'DONE' ELSE 'SCANNING' END FROM l WHERE type = 'input'"""
+)
+def stream_scan_states(spark, sf_dir):
+    return ev.scan_states(_acts(spark, sf_dir), gap="2 hours")
+
+
+@register(
+    f"""WITH {_A}, e AS (SELECT *, count(*) FILTER (type = 'input') OVER (PARTITION BY tab_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM a),
+r AS (SELECT tab_id, epoch, ts, event_id, risk_level FROM e WHERE type = 'result'),
+s AS (SELECT s.tab_id, s.event_id, trim(s.text) = '' AS blank, (SELECT arg_max(r.risk_level, (r.ts, r.event_id)) FROM r WHERE r.tab_id = s.tab_id AND r.epoch = s.epoch AND (r.ts, r.event_id) < (s.ts, s.event_id)) AS b,
+ (SELECT arg_min(r.risk_level, (r.ts, r.event_id)) FROM r WHERE r.tab_id = s.tab_id AND r.epoch = s.epoch AND (r.ts, r.event_id) > (s.ts, s.event_id)) AS f FROM e s WHERE s.type = 'submit')
+SELECT tab_id, event_id, CASE WHEN blank THEN 'none' ELSE coalesce(b, f) END AS level, coalesce(CASE WHEN blank THEN 'none' ELSE coalesce(b, f) END, '') = 'none' AS allowed, NOT blank AND b IS NULL AS waited FROM s"""
+)
+def stream_submit_gate(spark, sf_dir):
+    return ev.submit_gate(_acts(spark, sf_dir))
+
+
+@register(f"WITH {_A} SELECT tab_id, event_id, text FROM (SELECT *, lag(text) OVER w AS p, lag(type) OVER w AS k, row_number() OVER w AS rn FROM a WINDOW w AS (PARTITION BY tab_id ORDER BY ts, event_id)) WHERE rn = 1 OR text IS DISTINCT FROM p OR k = 'send_anyway'")
+def stream_send_anyway(spark, sf_dir):
+    return ev.changed(_acts(spark, sf_dir), kind="type").select("tab_id", "event_id", "text")
+
+
+@register(
+    f"""WITH {_A}, q AS (SELECT event_id AS scan_id, ts, 3600000 AS budget_ms FROM a WHERE event_id % 2 = 0), r AS (SELECT event_id - event_id % 4 AS scan_id, ts, risk_level FROM a WHERE event_id % 2 = 1),
+f AS (SELECT scan_id, min(ts) AS at_, arg_min(risk_level, (ts, risk_level)) AS level FROM r GROUP BY scan_id)
+SELECT q.scan_id, CASE WHEN epoch_us(at_) - epoch_us(ts) <= 3600000000 THEN level ELSE 'none' END AS risk_level, NOT coalesce(epoch_us(at_) - epoch_us(ts) <= 3600000000, false) AS timed_out FROM q LEFT JOIN f USING (scan_id)"""
+)
+def stream_correlate(spark, sf_dir):
+    a = _acts(spark, sf_dir)
+    a = a.withColumn("ts", F.col("ts").cast("timestamp"))
+    requests = a.where("event_id % 2 = 0").select(F.col("event_id").alias("scan_id"), "ts", F.lit(3_600_000).alias("budget_ms"))
+    results = a.where("event_id % 2 = 1").select((F.col("event_id") - F.col("event_id") % 4).alias("scan_id"), "ts", "risk_level")
+    return ev.correlated(requests, results).select("scan_id", "risk_level", "timed_out")
+
+
 # --- corpus reports
 
 _DOC_ALL = f"WITH {o.normalised('documents', 'doc_id')}, f AS ({o.merged(o.all_rows('n', 'doc_id'), 'doc_id')})"

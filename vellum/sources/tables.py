@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from vellum.operators import rules
+from vellum.plans.scan import scan
 
 EVENT = T.StructType().add("tab_id", "long").add("ts", "timestamp").add("event_id", "long").add("type", "string").add("risk_level", "string").add("text", "string")
 
@@ -36,16 +41,55 @@ def bundled_rules(spark: SparkSession) -> DataFrame:
 
 
 def rules_from(stored: DataFrame | None) -> list[rules.Rule]:
-    """Rules with the labels, risks and patterns of a stored table (a few dozen rows), or the bundled ones if it has none.
+    """Rules with the labels, risks and patterns of a stored table, or the bundled ones if it has none.
 
-    Only known ids count, since replacements are functions; a rule that the table lacks is off. Streams call this for every
-    micro-batch, so a changed table takes effect without a restart.
+    Only known ids count, since replacements are functions, so no more rows reach the driver than there are rules (of several
+    with one id, the first by ord); a rule that the table lacks is off.
     """
-    rows = stored.select("id", "label", "risk", "pattern").orderBy("ord").limit(1000).collect() if stored is not None else []
+    rows = []
+    if stored is not None:
+        known = stored.where(F.col("id").isin(list(rules.BY_ID))).groupBy("id").agg(F.min(F.struct("ord", "label", "risk", "pattern")).alias("r"))
+        rows = known.select("id", "r.*").orderBy("ord", "id").collect()
     found = [rules.Rule(r.id, r.label, r.risk, r.pattern, b.predicate, b.safe, b.needs if r.pattern == b.pattern else lambda t: F.lit(True)) for r in rows if (b := rules.BY_ID.get(r.id))]
     return found or rules.RULES
 
 
+class RuleCache:
+    """The rules of a Parquet table, read again when older than ``ttl`` seconds or refreshed; the last known, else the bundled,
+    ones where it cannot be read."""
+
+    def __init__(self, spark: SparkSession, path: str, ttl: float = 3600.0, clock: Callable[[], float] = time.monotonic):
+        self.spark, self.path, self.ttl, self.clock = spark, path, ttl, clock
+        self.known, self.read_at = rules.RULES, None
+
+    def refresh(self) -> None:
+        self.read_at = None
+
+    def get(self) -> list[rules.Rule]:
+        if self.read_at is None or self.clock() - self.read_at >= self.ttl:
+            try:
+                self.known, self.read_at = rules_from(self.spark.read.parquet(self.path)), self.clock()
+            except AnalysisException:
+                self.read_at = None  # tried again at the next batch
+        return self.known
+
+
+def scan_stream(events: DataFrame, cache: RuleCache, results: str, relay: str, checkpoint: str):
+    """A started query that scans every micro-batch of events by the rules of its time and writes two sinks until the input is used up.
+
+    results: whole scans by risk level; relay: tab_id, ts, event_id, risk_level and the number of findings, for the panel. Both folders
+    hold one part a batch, written over when a batch is done again after a failure, so no row comes twice.
+    """
+
+    def both(batch: DataFrame, number: int) -> None:
+        scanned = scan(batch.drop("risk_level"), rule_list=cache.get()).persist()
+        write_results(scanned, f"{results}/batch={number}", "overwrite")
+        scanned.select("tab_id", "ts", "event_id", "risk_level", F.size("findings").alias("n_findings")).write.mode("overwrite").parquet(f"{relay}/batch={number}")
+        scanned.unpersist()
+
+    return events.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def write_results(scanned: DataFrame, path: str, mode: str = "append") -> None:
     """Scan results as Parquet, by risk level, so that a reader of one level reads no other."""
     scanned.write.mode(mode).partitionBy("risk_level").parquet(path)
