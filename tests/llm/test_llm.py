@@ -409,6 +409,64 @@ def test_html_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def test_html_template_equals_brute_force(spark):
+    """Classes of a small site by whole occurrence vectors, its fixed texts, slots and nesting."""
+    rnd = random.Random(3)
+    pages = []
+    for k in range(10):
+        items = "".join(f"<p>{'own text %d %d ' % (k, j) * 5}</p>" for j in range(rnd.randint(1, 4)))
+        promo = "<section><p>Subscribe for more</p></section>"  # fixed text with no telling name
+        side = f"<div class='related-links'><p>See {k}</p></div>" if k % 2 else ""
+        pages.append(f"<body><div id='top'><p>Site name</p></div><div class='page has-sidebar'><div class='text'><h2>Story</h2>{items}{promo}</div>{side}</div></body>")
+    d = spark.createDataFrame([(k, f"http://h.example/{k}", p) for k, p in enumerate([*pages, pages[0]])], "page_id long, url string, html string")
+    count, path_of = defaultdict(Counter), {}
+    for k, p in enumerate([*pages, pages[0]]):
+        for event in html_text.walk(p):
+            if event[0] == "open":
+                count[event[1], 0][k] += 1
+            elif event[0] == "text" and event[2].strip():
+                key = html_text.key_of(event[1].path, event[2].strip()) | 1
+                count[event[1].path, key][k] += 1
+    classes = defaultdict(set)
+    for token, vector in count.items():
+        if len(vector) >= 0.9 * 11:
+            classes[tuple(sorted(vector.items()))].add(token)
+    template, main = html_text.templates(d)
+    rows = template.collect()
+    got = defaultdict(set)
+    for r in rows:
+        got[r["class"]].add((r.path, r.text))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(c) for c in classes.values() if len(c) > 1)
+    top = "/body/div.has-sidebar.page"
+    assert {r.path for r in rows if r.text == 0 and r.once} == {"/body", "/body/div#top", "/body/div#top/p", top, f"{top}/div.text", f"{top}/div.text/h2", f"{top}/div.text/section", f"{top}/div.text/section/p"}
+    assert main.first().main == f"{top}/div.text"
+    texts = {r.page_id: r.text for r in html_text.extract(d).collect()}
+    for k, p in enumerate(pages):
+        import re
+
+        assert texts[k] == "\n".join(x.strip() for x in re.findall("own text [^<]*", p)), k  # neither "Story" nor the promo
+
+
+def test_html_furniture_is_confirmed():
+    text = lambda body, **k: html_text.main_text(f"<html><body>{body}</body></html>", None, **k)
+    long = "words of an article " * 5
+    assert text(f"<article><section id='search-algorithms'><p>{long}</p></section></article>") == long.strip()
+    assert text(f"<article class='has-sidebar'><div class='related-work'><p>{long}</p></div></article>") == long.strip()
+    assert text(f"<article><p>{long}</p><span class='ad'><span>x</span>LEAK</span><p>end</p></article>") == long.strip() + "\nend"
+    assert text(f"<article><p>{long}<span class='ad'>LEAK<b>y</b></span> tail</p><div class='social share'>Tweet</div></article>") == long.strip() + " tail"
+    assert text(f"<article><p>{long}</p><div class='comments'><p>reader</p></div></article>") == long.strip()
+    assert text("<div>" * 300 + "<article><p>deep</p></article>") == "deep"
+    assert html_text.main_text("<p>a <img src=data:" + "x" * 200_000 + "> b</p><p>c <a href='", None) == "a b\nc"
+    assert html_text.main_text("<a <a <a" * 20_000 + "<", None) == ""
+
+
+def test_html_copies_keep_their_text(spark):
+    """Pages that are copies of one article have no text of their own left; theirs stays."""
+    page = lambda k: f"<body><div class='m'><p>One text</p><p>for all of them</p></div><p>{k}</p></body>"
+    d = spark.createDataFrame([(k, "http://c.example/x", page(k % 4)) for k in range(8)], "page_id long, url string, html string")
+    assert {r.text for r in html_text.extract(d).collect() if "One text" not in r.text} == set()
+
+
 def test_empty_tables(spark):
     none = _docs(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
