@@ -258,6 +258,8 @@ def test_fm_index():
 @pytest.mark.parametrize("options", [{}, {"hot": 2, "shard_words": 300}])
 def test_substring_dedup(spark, options):
     texts = _texts()
+    passage = texts[64]
+    texts += [f"w{k} {passage} v{k % 3}" for k in range(30)]  # more places of a segment in a task than go to its shard
     c = Counter()
     for t in texts:
         w = (t or "").encode().split()
@@ -283,6 +285,51 @@ def test_media(spark):
     assert all(len(v) == 1 for v in seen.values())
 
 
+def test_media_features_equal_brute_force():
+    """Peaks by a transform written out, pairs by loops."""
+    rnd = random.Random(2)
+    for text in (b" " * 192, b"abc" * 300, bytes(rnd.randrange(32, 127) for _ in range(192 * 23)), bytes(rnd.choice(b"aZ") for _ in range(192 * 60))):
+        x = np.frombuffer(text, np.uint8).astype(np.float32) - 128
+        n = max(1, -(-(len(x) - 384) // 192) + 1)
+        x = np.append(x, np.zeros((n - 1) * 192 + 384 - len(x), np.float32))
+        turn = np.exp(-2j * np.pi * np.outer(np.arange(193), np.arange(384)) / 384)
+        top = []
+        for f in range(n):
+            frame = x[f * 192 : f * 192 + 384]
+            power = np.abs(turn @ ((frame - frame.mean()) * np.hanning(384).astype(np.float32))) ** 2
+            top.append([(lo + int(power[lo:hi].argmax()), float(power[lo:hi].max())) for lo, hi in ((2, 12), (12, 32), (32, 80), (80, 193))])
+        bins, power = media.peaks(text)
+        strong = np.array([[p > 1 for _, p in t] for t in top])
+        assert (bins[strong] == np.array([[b for b, _ in t] for t in top])[strong]).all()
+        assert np.allclose(power, np.array([[p for _, p in t] for t in top]), rtol=1e-3, atol=0.1)
+        want = []
+        for band in range(4):
+            kept = [f for f in range(n) if power[f, band] > 1 and all(power[f, band] >= power[g, band] for g in (f - 1, f + 1) if 0 <= g < n)]
+            for i, f in enumerate(kept):
+                later = [g for g in kept[i + 1 : i + 3] if g - f <= 32]
+                want += [(f, int(bins[f, band]) << 16 | int(bins[g, band]) << 8 | g - f) for g in later]
+                if i + 1 == len(kept) or kept[i + 1] - f > 32:
+                    want.append((f, int(bins[f, band]) << 16))
+        assert sorted(want) == list(zip(*(c.tolist() for c in media.fingerprint(text)), strict=True))
+
+
+def test_quality_votes_equal_brute_force():
+    rnd = np.random.default_rng(5)
+    x = np.abs(rnd.normal(size=(80, quality.DIMS))).astype(np.float32) * (rnd.random((80, quality.DIMS)) < 0.02)
+    y = (rnd.random(80) < 0.6).astype(np.float32)
+    voter = quality.Voter(x[:60], y[:60], latent=8, neighbours=5)
+    idf = np.log(61 / (1 + (x[:60] > 0).sum(axis=0))) + 1
+    unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-30)
+    w = unit(x.astype(np.float64) * idf)
+    right = np.linalg.svd(w[:60], full_matrices=False)[2][:8]
+    v = unit(w @ right.T)
+    for k, got in enumerate(voter.score(x, block=7)):
+        cosine = v[:60] @ v[k]
+        near = np.argsort(-cosine)[:5]
+        weight = np.maximum(cosine[near], 0) ** 8
+        assert abs(got - (weight @ y[near]) / weight.sum()) < 1e-3
+
+
 def test_decontamination(spark):
     rnd = random.Random(4)
     words = [w for w in "the of alpha beta gamma delta epsilon zeta eta theta iota kappa É9 naïve x1".split()]

@@ -66,7 +66,8 @@ def contained(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: st
         .where("p.n > 0")  # a window with a word that no document has occurs nowhere
     )
     prefix = cut(rarest.join(win.select("win", "items"), "win").select(F.col("p.word").alias("word"), F.col("p.off").alias("off"), "win", "size", "items"))
-    d = docs.select(F.xxhash64(F.col(id_col), text).alias("doc__"), words(text).alias("w"))
+    row = F.struct(F.xxhash64(F.col(id_col), text).alias("a"), F.xxhash64(F.lit(1), text, F.col(id_col)).alias("b"))  # 128 bits tell rows apart
+    d = docs.select(row.alias("doc__"), words(text).alias("w"))
     found = (
         d.select("doc__", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
         .select("doc__", "n", "pos", lower_ascii(F.col("word")).alias("word"))
@@ -76,7 +77,7 @@ def contained(docs: DataFrame, items: DataFrame, *, window: int = 13, id_col: st
         .groupBy("doc__")
         .agg(F.collect_set(F.struct("start", "size", "win", "items")).alias("met__"))
     )
-    joined = docs.withColumn("doc__", F.xxhash64(F.col(id_col), text)).join(found, "doc__", "left").drop("doc__")
+    joined = docs.withColumn("doc__", row).join(found, "doc__", "left").drop("doc__")
     none = F.array().cast(found.schema["met__"].dataType)
 
     def verified(x: Column) -> Column:

@@ -5,7 +5,8 @@ equal windows have equal anchors and meet in one shard. Anchors that occur once
 window and go no further. Around each other anchor, the words of the windows that chose it form a segment; segments go to
 the shard of their anchor, which stores equal ones once with their number, builds a compressed FM-index (a wavelet matrix
 of the Burrows-Wheeler transform) over them, and streams every segment through it by backward search. The matching
-statistics reach ``window`` exactly where a window is repeated. A task builds one index after another, each of some
+statistics reach ``window`` exactly where a window is repeated. Of a segment's places in one task all beyond the second are
+repeated without a search. A task builds one index after another, each of some
 100,000 words or one anchor's segments. Windows of an anchor that over ``hot`` texts hold are sharded by the whole
 window instead, so no index grows with a common passage.
 
@@ -23,9 +24,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vellum.llm.common import small_batches
 from vellum.llm.fm_index import repeated_windows
 
-WINDOW, GRAM, HOT, SHARD_WORDS = 35, 12, 30_000, 150_000
+WINDOW, GRAM, HOT, SHARD_WORDS = 35, 12, 5_000, 150_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,8 +85,12 @@ _ROW = "th long, tg long, start int, n int, a long, s long, has boolean, words b
 
 
 def _segment_rows(batches, window, gram):
-    """Segments of the repeated anchors of each text; words are left out where this task gave the segment before."""
-    seen: set[int] = set()
+    """Segments of the repeated anchors of each text; words are left out where this task gave the segment before.
+
+    Of a segment's places in one task the first two go to its shard, which then knows it as repeated. All further ones are
+    repeated as well; they go anywhere (dealt by their text, has null), so no shard grows with a passage's copies.
+    """
+    seen: dict[int, bool] = {}  # whether the shard has two places of a segment
     for b in batches:
         for k in range(b.num_rows):
             th, tg, text, want, hot = (b.column(i)[k].as_py() for i in range(5))
@@ -98,14 +104,14 @@ def _segment_rows(batches, window, gram):
                 for s, n in spans:
                     raw = h[s : s + n + window - 1].tobytes()
                     key = xxhash.xxh64_intdigest(raw, 1)
-                    new = key not in seen
-                    if new:
-                        if len(seen) > 500_000:
-                            seen.clear()
-                        seen.add(key)
+                    new, known = key not in seen, seen.get(key, False)
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen[key] = not new
                     key = key - (1 << 64) if key >> 63 else key
                     anchor = key if alone else int(a[i].view(np.int64))
-                    for col, x in zip(out, (s, n, anchor, key, new, raw if new else None), strict=True):
+                    row = (s, n, th, th, None, None) if known else (s, n, anchor, key, new, raw if new else None)
+                    for col, x in zip(out, row, strict=True):
                         col.append(x)
             size = len(out[0])
             if size:
@@ -139,8 +145,14 @@ def _shard_rows(batches, window, shard_words):
     for b in batches:
         got = []
         th, tg, start, n, a, s = (b.column(i).to_pylist() for i in range(6))
-        words = b.column(7)
+        has, words = b.column(6).to_pylist(), b.column(7)
         for k in range(b.num_rows):
+            if has[k] is None:
+                got.append((th[k], tg[k], np.arange(start[k], start[k] + n[k], dtype=np.int32)))
+                if len(got) >= 20_000:
+                    yield from rows(got)
+                    got = []
+                continue
             if a[k] != anchor:
                 if size >= shard_words:
                     got += search(shard)
@@ -187,6 +199,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, h
 
     derive: columns to have in place of kept, worked out of it once for each distinct text, before rows of equal texts take them.
     """
+    small_batches(docs.sparkSession)
     derive = derive or {"kept": F.col("kept")}
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = docs.select(F.col(id_col), text.alias("text")).select(id_col, "text", F.xxhash64("text").alias("th"), F.xxhash64("text", F.lit(1)).alias("tg"))
