@@ -381,9 +381,9 @@ def test_maxent_lm_sums_equal_brute_force(spark):
     texts = [" ".join(rnd.choice("alpha beta gamma delta Eps. zeta,".split()) for _ in range(rnd.randint(0, 30))) for _ in range(40)]
     c = Counter(w for t in texts for w in maxent_lm.tokens(t))
     head = maxent_lm.Head(np.array([xxhash.xxh64_intdigest(w) for w in c if w != b"zeta,"], np.uint64), np.array([n for w, n in c.items() if w != b"zeta,"]))
-    seen, exp = np.zeros((maxent_lm.ROWS, maxent_lm.CLASSES)), np.zeros((maxent_lm.ROWS, maxent_lm.CLASSES))
-    weights = np.random.default_rng(0).normal(size=seen.shape).astype(np.float32)
-    got = list(maxent_lm.batches(texts, maxent_lm.Words(head)))
+    seen, exp = np.zeros((maxent_lm.CLASSES, maxent_lm.ROWS)), np.zeros((maxent_lm.CLASSES, maxent_lm.ROWS))
+    weights = np.random.default_rng(0).normal(size=seen.T.shape).astype(np.float32)
+    got = list(maxent_lm.batches(texts, head))
     for b in got:
         maxent_lm.observed(b, seen)
         maxent_lm.expected(b, weights, exp)
@@ -395,13 +395,13 @@ def test_maxent_lm_sums_equal_brute_force(spark):
             p = np.exp(z) / np.exp(z).sum()
             assert abs(maxent_lm.class_logs(b, weights)[k] - math.log(p[b.classes[k]])) < 1e-4
             for row in rows:
-                want_seen[row, b.classes[k]] += 1
-                want_exp[row] += p
+                want_seen[b.classes[k], row] += 1
+                want_exp[:, row] += p
     assert (seen == want_seen).all() and np.abs(exp - want_exp).max() < 1e-4
     d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(40)
     for level in (1, 16):
         maxent_lm.LEVEL, old = level, maxent_lm.LEVEL
-        assert (maxent_lm._summed(d, spark.sparkContext.broadcast(head), maxent_lm.observed) == want_seen).all()
+        assert (maxent_lm._summed(d, spark.sparkContext.broadcast(head), maxent_lm.observed) == want_seen.T).all()
         maxent_lm.LEVEL = old
 
 
@@ -410,7 +410,7 @@ def test_maxent_lm_is_a_distribution(spark):
     texts = spark.createDataFrame([("a b c a b d",), ("b a",), ("e f g.",)], "text string")
     model, _ = maxent_lm.fit(texts)
     counts = Counter(w for r in texts.collect() for w in maxent_lm.tokens(r.text))
-    batch = next(maxent_lm.batches(["a"], maxent_lm.Words(model.head)))
+    batch = next(maxent_lm.batches(["a"], model.head))
     z = maxent_lm._logits(model.weights, batch.rows)[:, 1]
     p_class = np.exp(z) / np.exp(z).sum()
     total = sum(p_class[k] * (model.head.counts[i] + 1) / 10 ** model.shares[k] for i, k in enumerate(model.head.classes[:-1]))

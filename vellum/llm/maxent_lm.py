@@ -38,9 +38,9 @@ BUCKETS = (1 << 13, 1 << 14, 1 << 13)
 _OFFSETS = (0, BUCKETS[0], BUCKETS[0] + BUCKETS[1])
 ROWS = sum(BUCKETS) + 1  # the last is the bias
 ROUNDS, RATE, PRIOR, START = 2, 0.35, 8.0, (0.45, 0.35, 0.25)
-_BLOCK, _BATCH = 512, 32768
-#: Different words a task keeps the hashes of, and tables of tasks that are added up at a time.
-KNOWN_WORDS, LEVEL = 200_000, 16
+_BLOCK, _BATCH, _STRIP = 512, 65536, 2048
+#: Different words that a task counts before it hands them on, and tables of tasks that are added up at a time.
+COUNTED_WORDS, LEVEL = 200_000, 16
 _END = np.uint64(xxhash.xxh64_intdigest(b""))
 _BEGIN = np.uint64(0x1234567890ABCDEF)
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -94,38 +94,6 @@ class Head:
         return at
 
 
-class Words(dict):
-    """Words to numbers, given at first sight; hashes, head places and classes by number. Some 200,000 words, then it starts anew."""
-
-    def __init__(self, head: Head):
-        self.head = head
-        self._forget()
-
-    def _forget(self) -> None:
-        self.clear()
-        self.new: list[bytes] = []
-        self.hashes, self.at, self.classes = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = len(self)
-        self.new.append(word)
-        return out
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > KNOWN_WORDS:
-            self._forget()
-        out = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        if self.new:
-            h = np.fromiter(map(xxhash.xxh64_intdigest, self.new), np.uint64, len(self.new))
-            at = self.head.find(h)
-            classes = self.head.classes[at]
-            for i in np.flatnonzero(classes < 0).tolist():
-                classes[i] = tail_class(self.new[i])
-            self.hashes, self.at, self.classes = np.append(self.hashes, h), np.append(self.at, at), np.append(self.classes, classes)
-            self.new = []
-        return out
-
-
 @dataclass
 class Batch:
     """Tokens of consecutive texts: hashes, head places, classes, feature rows, and where each text starts."""
@@ -137,16 +105,15 @@ class Batch:
     starts: np.ndarray
 
 
-def batches(texts: list[str | None], known: Words):
-    """Batches of whole texts of some 30,000 tokens (or one longer text)."""
+def batches(texts: list[str | None], head: Head):
+    """Batches of whole texts of some 60,000 tokens (or one longer text)."""
     words: list[bytes] = []
     starts: list[int] = []
     for k, text in enumerate(texts):
         starts.append(len(words))
         words += tokens(text)
         if len(words) >= _BATCH or k == len(texts) - 1:
-            number = known.numbers(words)
-            h = known.hashes[number]
+            h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
             first = np.array(starts)
             one = np.concatenate([[_BEGIN], h[:-1]])
             one[first] = _BEGIN
@@ -155,37 +122,47 @@ def batches(texts: list[str | None], known: Words):
             with np.errstate(over="ignore"):
                 keys = (one * _M1, (one * _M2) ^ (two * _M3), two * _M2)
                 rows = np.stack([((k * _M1) >> np.uint64(65 - b.bit_length())).astype(np.intp) + o for k, b, o in zip(keys, BUCKETS, _OFFSETS, strict=True)])
-            yield Batch(h, known.at[number], known.classes[number], rows, first)
+                at = head.find(h)
+            classes = head.classes[at]
+            for i in np.flatnonzero(classes < 0).tolist():
+                classes[i] = tail_class(words[i])
+            yield Batch(h, at, classes, rows, first)
             words, starts = [], []
 
 
 def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Classes by tokens: sums over the classes then run along memory."""
-    z = weights[rows[0]]
-    z += weights[rows[1]]
-    z += weights[rows[2]]
-    z += weights[-1]
-    z = np.ascontiguousarray(z.T)
-    z -= z.max(axis=0)
-    return z
+    """Classes by tokens, so that sums over the classes run along memory; worked out in strips that stay in a core's cache."""
+    n = rows.shape[1]
+    out = np.empty((CLASSES, n), np.float32)
+    for at in range(0, n, _STRIP):
+        r = rows[:, at : at + _STRIP]
+        z = weights.take(r[0], axis=0)
+        z += weights.take(r[1], axis=0)
+        z += weights.take(r[2], axis=0)
+        z += weights[-1]
+        strip = z.T.copy()
+        strip -= strip.max(axis=0)
+        out[:, at : at + _STRIP] = strip
+    return out
 
 
 def observed(batch: Batch, into: np.ndarray) -> None:
-    """Add the feature by class counts of a batch."""
+    """Add the class by feature counts of a batch."""
     for r, o, b in zip(batch.rows, _OFFSETS, BUCKETS, strict=True):
-        into[o : o + b] += np.bincount((r - o) * CLASSES + batch.classes, minlength=b * CLASSES).reshape(b, CLASSES)
-    into[-1] += np.bincount(batch.classes, minlength=CLASSES)
+        into[:, o : o + b] += np.bincount(batch.classes * np.intp(b) + (r - o), minlength=b * CLASSES).reshape(CLASSES, b)
+    into[:, -1] += np.bincount(batch.classes, minlength=CLASSES)
 
 
 def expected(batch: Batch, weights: np.ndarray, into: np.ndarray) -> None:
-    """Add the model's expected feature by class counts of a batch."""
+    """Add the model's expected class by feature counts of a batch."""
     p = np.exp(_logits(weights, batch.rows))
     p /= p.sum(axis=0)
-    p = p.astype(np.float64)
-    for r, o, b in zip(batch.rows, _OFFSETS, BUCKETS, strict=True):
-        at = r - o
-        into[o : o + b] += np.stack([np.bincount(at, share, b) for share in p]).T
-    into[-1] += p.sum(axis=1)
+    places = [r - o for r, o in zip(batch.rows, _OFFSETS, strict=True)]
+    for k, share in enumerate(p):
+        share = share.astype(np.float64)
+        for at, o, b in zip(places, _OFFSETS, BUCKETS, strict=True):
+            into[k, o : o + b] += np.bincount(at, share, b)
+        into[k, -1] += share.sum()
 
 
 def class_logs(batch: Batch, weights: np.ndarray) -> np.ndarray:
@@ -202,13 +179,13 @@ def initial_weights(obs: np.ndarray) -> np.ndarray:
     for o, b, s in zip(_OFFSETS, BUCKETS, START, strict=True):
         w[o : o + b] *= s
     w[-1] = np.log(share)
-    return w.astype(np.float32)
+    return np.ascontiguousarray(w, np.float32)
 
 
 def _summed(docs: DataFrame, head, add_batch) -> np.ndarray:
     """Sum of a ROWS x CLASSES table over all texts: one table a task, added up by block in two shuffles.
 
-    add_batch(batch, table) adds one batch's part; head: the broadcast head. The first shuffle adds up ``LEVEL`` tasks' tables at a
+    add_batch(batch, table), whose table lies classes first, adds one batch's part; head: the broadcast head. The first shuffle adds up ``LEVEL`` tasks' tables at a
     time, so that no task of the second reads every task's table.
     """
 
@@ -216,16 +193,16 @@ def _summed(docs: DataFrame, head, add_batch) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int32()), pa.array([k for _, k in keys], pa.int32()), pa.array(tables, pa.binary())], ["block", "level", "part"])
 
     def per_task(arrow):
-        out, known = None, Words(head.value)
+        out = None
         for b in arrow:
             for at in range(0, b.num_rows, 1000):
-                for batch in batches(b.column(0).slice(at, 1000).to_pylist(), known):
-                    out = np.zeros((ROWS, CLASSES)) if out is None else out
+                for batch in batches(b.column(0).slice(at, 1000).to_pylist(), head.value):
+                    out = np.zeros((CLASSES, ROWS)) if out is None else out
                     add_batch(batch, out)
         if out is not None:
             level = TaskContext.get().partitionId() // LEVEL
             cuts = range(0, ROWS, _BLOCK)
-            yield rows_of([(k, level) for k in range(len(cuts))], [out[at : at + _BLOCK].astype(np.float32).tobytes() for at in cuts])
+            yield rows_of([(k, level) for k in range(len(cuts))], [out[:, at : at + _BLOCK].T.astype(np.float32).tobytes() for at in cuts])
 
     def add(arrow):
         sums: dict[tuple, np.ndarray] = {}
@@ -258,7 +235,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
         for b in arrow:
             for t in b.column(0):
                 c.update(tokens(t.as_py()))
-                if len(c) > KNOWN_WORDS:
+                if len(c) > COUNTED_WORDS:
                     yield rows_of(c)
                     c.clear()
         if c:
@@ -321,12 +298,11 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, *, id_col: str = "doc_
         m: Model = shared.value
         none = len(m.head.hashes) - 1
         known = np.append(np.log10(m.head.counts[:-1] + 1), 0.0)
-        words = Words(m.head)
         for b in arrow:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 n_tok, n_head, logs, model_logs, tails, numbers = [], [], [], [], [], []
-                for batch in batches(part.column(2).to_pylist(), words):
+                for batch in batches(part.column(2).to_pylist(), m.head):
                     n_tok.append(np.diff(np.append(batch.starts, len(batch.at))))
                     n_head.append(np.add.reduceat((batch.at != none).astype(np.int64), batch.starts))
                     logs.append(np.add.reduceat(known[batch.at], batch.starts))
