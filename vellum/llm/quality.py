@@ -78,20 +78,22 @@ class Voter:
         self.k, self.y = neighbours, y.astype(np.float32)
         self.prior = float(y.mean()) if len(y) else 0.5
         self.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-        weighted = self._weigh(x).astype(np.float64)
+        weighted = self._weigh(x)
         # right singular vectors by way of the sample's inner products, whose size is bounded by the sample
-        values, vectors = np.linalg.eigh(weighted @ weighted.T)
-        top = np.flatnonzero(values > 1e-9)[::-1][:latent]
-        self.project = (weighted.T @ (vectors[:, top] / np.sqrt(values[top]))).astype(np.float32)
-        self.known = self._unit(self._weigh(x) @ self.project)
+        values, vectors = np.linalg.eigh((weighted @ weighted.T).astype(np.float64))
+        top = np.flatnonzero(values > 1e-6)[::-1][:latent]
+        self.project = weighted.T @ (vectors[:, top] / np.sqrt(values[top])).astype(np.float32)
+        self.known = self._unit(weighted @ self.project)
 
     def _weigh(self, x: np.ndarray) -> np.ndarray:
-        return self._unit(x * self.idf)
+        return self._unit((x * self.idf).astype(np.float32, copy=False))
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return x / np.where(norm > 0, norm, 1)
+        """Rows scaled to length one, in place."""
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        x /= np.where(norm > 0, norm, 1)
+        return x
 
     def score(self, x: np.ndarray, block: int = 1024) -> np.ndarray:
         out = np.full(len(x), self.prior)
@@ -123,12 +125,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     def run(batches):
         cache = Features()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([features(t.as_py(), cache).tobytes() for t in batch.column(1)], pa.binary())], ["id", "y", "x"]
-            )
-
-    rows = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, y int, x binary").orderBy("id", "y").collect()
-    x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float32).reshape(len(rows), DIMS)
+            at, value = [], []  # of each row's columns only those that are not 0 travel to the driver
+            for t in batch.column(1):
+                x = features(t.as_py(), cache)
+                at.append(np.flatnonzero(x).astype(np.int32).tobytes())
+                value.append(x[x != 0].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(at, pa.binary()), pa.array(value, pa.binary())], ["id", "y", "at", "value"])
+
+    rows = texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, y int, at binary, value binary").orderBy("id", "y").collect()
+    x = np.zeros((len(rows), DIMS), np.float32)
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(r.at, np.int32)] = np.frombuffer(r.value, np.float32)
     return Voter(x, np.array([r.y for r in rows], np.float32))
 
 
