@@ -229,9 +229,19 @@ def test_near_dedup_finds_planted_copies(spark):
     assert set(range(163)) - kept == want | extra | {161, 162}
 
 
-def test_verified_classes_equal_brute_force(spark):
+@pytest.mark.parametrize("tile", [(512, 8 << 20), (2, 1 << 20), (512, 300)])
+def test_verified_classes_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile[0])
+    monkeypatch.setattr(simhash, "TILE_BYTES", tile[1])
     texts = _texts()
     texts += [texts[0] + " and one more", *[f"{texts[71]} {k}" for k in range(30)]]
+    # a family of near copies, most of which are further from each other than the similarity asked for
+    rnd = random.Random(9)
+    for _ in range(40):
+        words = [f"family{k}" for k in range(150)]
+        for k in rnd.sample(range(150), rnd.choice([1, 2, 3, 3, 3])):
+            words[k] = f"edit{rnd.random()}"
+        texts.append(" ".join(words))
     least = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):

@@ -19,6 +19,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -29,8 +30,8 @@ SEED = 42
 
 #: At similarity 0.8 a pair shares no subset of four orders in twenty with probability (1 - 0.8^4)^20 = 0.00003.
 BANDS, ROWS = 20, 4
-#: Texts of a subset's group that the others are held against at a time, in at most so many rounds.
-CENTRES, ROUNDS = 16, 8
+#: A tile holds about so many texts of a subset's group, or so many bytes of them, against as many others.
+TILE, TILE_BYTES = 512, 8 << 20
 _ORDERS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 
 
@@ -162,16 +163,76 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
     return cut(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
 
 
+def _tile_links(part: pd.DataFrame, shingle: int, similarity: float) -> pd.DataFrame:
+    """Links (u, v) of one tile, left texts to right ones, as a forest over the components (root) that they join."""
+    sides = [part[part["left"]], part[~part["left"]]]
+    hashes = [[np.unique(shingles(t, shingle)) for t in side["text"]] for side in sides]
+    sizes = [np.array([len(h) for h in side], np.float64) for side in hashes]
+    common = np.intersect1d(*[np.concatenate([*side, np.zeros(0, np.uint64)]) for side in hashes])
+    both = np.zeros((len(sides[0]), len(sides[1])), np.float32)
+    for at in range(0, len(common), 4096):
+        some = common[at : at + 4096]
+        marks = []
+        for side in hashes:
+            mark = np.zeros((len(side), len(some)), np.float32)
+            for row, h in zip(mark, side, strict=True):
+                row[np.isin(some, h, assume_unique=True)] = 1
+            marks.append(mark)
+        both += marks[0] @ marks[1].T
+    near = both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-9
+    (us, uroots), (vs, vroots) = [(side["key"].tolist(), side["root"].tolist()) for side in sides]
+    parent, found = {}, []
+
+    def top(x):
+        while x in parent:
+            x = parent[x]
+        return x
+
+    for i, j in np.argwhere(near).tolist():
+        x, y = top(uroots[i]), top(vroots[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            found.append((us[i], vs[j]))
+    return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+
+def tiled_links(texts: DataFrame, held: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links that join all components within the groups: texts key, text; ``held`` band, key, size (bytes), root.
+
+    Texts outside a group's largest component are held against all of the group. Both sides are dealt into blocks and every pair of
+    blocks is a tile of bounded size, so a group takes many tasks and its texts travel once a tile, not once a pair.
+    """
+    sizes = held.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / TILE), F.ceil(size / TILE_BYTES), F.lit(1)).cast("int")
+    order = F.struct("n", "root")
+    mixed = (
+        sizes.groupBy("band")
+        .agg(F.max_by("root", order).alias("major"), F.max_by("size", order).alias("s"), F.max("n").alias("m"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+        .where("n > m")
+        .select("band", "major", blocks(F.col("n") - F.col("m"), F.col("size") - F.col("s")).alias("xs"), blocks(F.col("n"), F.col("size")).alias("ys"))
+    )
+    open_ = held.join(mixed, "band").withColumn("h", F.xxhash64("key", "band"))
+    one = lambda n: F.pmod("h", n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = open_.where("root <> major").select("band", "key", "root", F.lit(True).alias("left"), one(F.col("xs")).alias("x"), every("ys").alias("y"))
+    right = open_.select("band", "key", "root", F.lit(False).alias("left"), every("xs").alias("x"), one(F.col("ys")).alias("y"))
+    dealt = cut(left.unionByName(right))
+    needed = bounded(dealt.select("key").distinct(), 2_000_000)
+    once = texts.join(needed, "key").groupBy("key").agg(F.first("text").alias("text"))
+    tiles = dealt.join(once, "key").groupBy("band", "x", "y")
+    return tiles.applyInPandas(lambda part: _tile_links(part, shingle, similarity), "u long, v long").distinct()
+
+
 def verified_classes(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, component: the smallest id reachable over verified pairs, for every row.
 
     First every text of a subset's group is held against the group's smallest. Where a group then has texts of several components,
-    each text outside the group's largest component is held against the group's texts of other components, some ``CENTRES`` of
-    them at a time, so that what one round links is not compared in the next. Every pair of a group is so compared or linked.
+    tiles hold each text outside the group's largest component against all of the group (``tiled_links``, by the shingles' 64-bit
+    hashes; the links found are verified like the others). Every pair of a group is so compared or linked.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), F.octet_length(text).cast("long").alias("size"))
 
     def run(batches):
         for batch in batches:
@@ -179,12 +240,13 @@ def verified_classes(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
                 part = batch.slice(at, 500)
                 hashes = [shingles(t.as_py(), shingle) for t in part.column(2)]
                 fps = np.array([_majority(h) for h in hashes], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps), pa.array([subsets(h) for h in hashes], pa.list_(pa.int64()))], ["id", "key", "fp", "bands"])
+                bands = pa.array([subsets(h) for h in hashes], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(fps), bands], ["id", "key", "size", "fp", "bands"])
 
     kind = slim.schema["id"].dataType.simpleString()
-    signed = cut(slim.mapInArrow(run, f"id {kind}, key long, fp long, bands array<bigint>"))
-    nodes = cut(signed.groupBy("key").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
-    groups = nodes.select("key", F.explode("bands").alias("band"))
+    signed = cut(slim.mapInArrow(run, f"id {kind}, key long, size long, fp long, bands array<bigint>"))
+    nodes = cut(signed.groupBy("key").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    groups = nodes.select("key", "size", F.explode("bands").alias("band"))
     by_fp = nodes.groupBy("fp").agg(F.min("key").alias("first"))
     near = links(by_fp, radius)
     u, v = by_fp.select(F.col("fp").alias("u"), F.col("first").alias("x")), by_fp.select(F.col("fp").alias("v"), F.col("first").alias("y"))
@@ -196,21 +258,10 @@ def verified_classes(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     tried = cut(stars[0].unionByName(stars[1]).unionByName(stars[2]).where("u <> v").distinct())
     linked = verified(slim, tried, shingle, similarity)
     member = components(linked)
-    labels = lambda: nodes.select("key").join(member.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
-    held = groups.join(labels(), "key")
-    sizes = held.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
-    slots = F.least(F.ceil(F.col("minor") / CENTRES), F.lit(ROUNDS))
-    open_ = cut(held.join(mixed, "band").select("band", "key", F.when(F.col("root") != F.col("major"), F.pmod(F.xxhash64("key", "band"), slots)).alias("slot")))
-    for k in range(open_.agg(F.coalesce(F.max("slot"), F.lit(-1)) + 1).first()[0]):
-        now = open_.join(labels(), "key")
-        centre = now.where(F.col("slot") == k).select("band", F.col("key").alias("ckey"), F.col("root").alias("croot"))
-        more = now.join(centre, "band").where("root <> croot").select(F.least("key", "ckey").alias("u"), F.greatest("key", "ckey").alias("v")).distinct()
-        more = cut(more.join(tried, ["u", "v"], "left_anti"))
-        later = verified(slim, more, shingle, similarity)
-        if not later.isEmpty():
-            tried, linked = tried.unionByName(more), linked.unionByName(later)
-            member = components(linked)
+    held = groups.join(member.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    later = verified(slim, tiled_links(slim, held, shingle, similarity), shingle, similarity)
+    if not later.isEmpty():
+        member = components(linked.unionByName(later))
     rooted = nodes.join(member.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     known = rooted.join(lowest, "root").select("key", "component")
