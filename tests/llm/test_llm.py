@@ -415,6 +415,29 @@ def test_maxent_lm_sums_equal_brute_force(spark):
         maxent_lm.LEVEL = old
 
 
+def test_maxent_lm_company_equals_brute_force(spark):
+    """Neighbours counted by loops; words of two languages that never meet come into classes of their own."""
+    rnd = random.Random(8)
+    tongues = [([f"{c}f{k}" for k in range(4)], [f"{c}w{k}" for k in range(30)]) for c in "xy"]
+    texts = [" ".join(rnd.choice(w) for _ in range(40) for w in tongues[k % 2]) for k in range(80)] + [None, ""]
+    c = Counter(w for t in texts for w in maxent_lm.tokens(t))
+    head = maxent_lm.Head(np.array([xxhash.xxh64_intdigest(w) for w in c], np.uint64), np.array(list(c.values())))
+    place = {w: int(np.flatnonzero(head.hashes == xxhash.xxh64_intdigest(w))[0]) for w in c}
+    want = np.zeros((maxent_lm.SHAPED, 2 * maxent_lm.COMPANY))
+    for t in texts:
+        for a, b in itertools.pairwise(maxent_lm.tokens(t)):
+            if place[a] < maxent_lm.COMPANY:
+                want[place[b], place[a]] += 1
+            if place[b] < maxent_lm.COMPANY:
+                want[place[a], maxent_lm.COMPANY + place[b]] += 1
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = maxent_lm._summed(d, spark.sparkContext.broadcast(head), maxent_lm.company, maxent_lm.SHAPED, 2 * maxent_lm.COMPANY)
+    assert (got == want).all()
+    head.classed(got)
+    classes = [{int(head.classes[place[w]]) for w in map(str.encode, words)} for _, words in tongues]
+    assert not classes[0] & classes[1]
+
+
 def test_maxent_lm_is_a_distribution(spark):
     """Over the known tokens and one unknown of each class outside the head, the probabilities sum to one."""
     texts = spark.createDataFrame([("a b c a b d",), ("b a",), ("e f g.",)], "text string")
@@ -424,8 +447,9 @@ def test_maxent_lm_is_a_distribution(spark):
     z = maxent_lm._logits(model.weights, batch.rows)[:, 1]
     p_class = np.exp(z) / np.exp(z).sum()
     total = sum(p_class[k] * (model.head.counts[i] + 1) / 10 ** model.shares[k] for i, k in enumerate(model.head.classes[:-1]))
-    empty = set(range(maxent_lm.CLASSES)) - set(model.head.classes[:-1].tolist())
-    total += sum(p_class[k] for k in empty)
+    tails = range(maxent_lm.OWN + maxent_lm.KINDS, maxent_lm.CLASSES)
+    total += sum(p_class[k] / 10 ** model.shares[k] for k in tails)
+    total += sum(p_class[k] for k in set(range(tails.start)) - set(model.head.classes[:-1].tolist()))
     assert len(model.head.hashes) - 1 == len(counts) and abs(total - 1) < 1e-5
 
 

@@ -2,11 +2,13 @@
 
 P(token | context) = P(class | context) * P(token | class). The class factor is a maximum-entropy model over 32 classes with
 hashed features of the context: the word before, the two words before, and the word before that one (a skip), besides a bias.
-The most frequent tokens are classes of their own, other frequent ones are binned by frequency mass, all the rest are
-classed by a hash of their last letters; inside a class a token has its smoothed share of the class's training tokens.
+The most frequent tokens are classes of their own, other frequent ones are classed by the company they keep: how often each of
+the ``COMPANY`` most frequent tokens stands just before and just after them, grouped around ``KINDS`` centres. All the rest, and
+tokens never seen, are classed by a hash of their last letters; inside a class a token has its smoothed share of the class's
+training tokens.
 
-Training: token counts of all training texts by a groupBy; one pass for observed feature counts, from which the weights
-start; then full-batch gradient updates: each task sums the expected feature counts of its texts under the broadcast weights, two
+Training: token counts of all training texts by a groupBy; one pass for the frequent tokens' company; one for observed feature
+counts, from which the weights start; then full-batch gradient updates: each task sums the expected feature counts of its texts under the broadcast weights, two
 shuffles add the tables up by block, and the driver applies observed - expected, preconditioned by the observed counts.
 What is broadcast is of fixed size: the weights (4 MB) and at most ``HEAD`` frequent tokens' hashes and counts (4 MB).
 Scoring runs in sparse numpy batches; counts of tokens outside that head are joined by a shuffle.
@@ -30,9 +32,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.llm.common import cut, small_batches
 
-OWN, BINS, TAILS = 15, 9, 8
-CLASSES = OWN + BINS + TAILS
+OWN, KINDS, TAILS = 4, 20, 8
+CLASSES = OWN + KINDS + TAILS
 HEAD = 1 << 18
+#: Tokens classed by company, tokens that count as company, weight of the overall company in a token's own, rounds of grouping.
+SHAPED, COMPANY, SMOOTH, GROUPINGS = 1 << 13, 64, 20.0, 15
 #: Buckets of the three feature templates: word before, two words before, skip.
 BUCKETS = (1 << 13, 1 << 14, 1 << 13)
 _OFFSETS = (0, BUCKETS[0], BUCKETS[0] + BUCKETS[1])
@@ -52,19 +56,21 @@ def tokens(text: str | None) -> list[bytes]:
 
 def tail_class(word: bytes) -> int:
     """Class of a token outside the head, from its last two letters."""
-    return OWN + BINS + xxhash.xxh32_intdigest(word.rstrip(b".,;:!?*#$%&|")[-2:]) % TAILS
+    return OWN + KINDS + xxhash.xxh32_intdigest(word.rstrip(b".,;:!?*#$%&|")[-2:]) % TAILS
 
 
 class Head:
-    """Frequent tokens by hash: an open-addressing table in numpy, with counts and classes."""
+    """Frequent tokens by hash, most frequent first: an open-addressing table in numpy, with counts and classes.
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+    tails: the tokens' classes by their last letters, which stand until ``classed`` gives others (default: the first such class).
+    """
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, tails: np.ndarray | None = None):
         order = np.lexsort((hashes, -counts))
         self.hashes, self.counts = np.append(hashes[order], np.uint64(0)), np.append(counts[order], 0).astype(np.float64)
         n = len(order)
-        mass = np.cumsum(self.counts[OWN:n]) if n > OWN else np.zeros(0)
-        binned = OWN + np.minimum(BINS - 1, (BINS * (mass - self.counts[OWN:n]) / max(1.0, mass[-1] if len(mass) else 1)).astype(np.int64))
-        self.classes = np.concatenate([np.arange(min(OWN, n)), binned, [-1]]).astype(np.int32)
+        tails = np.full(n, OWN + KINDS) if tails is None else tails[order]
+        self.classes = np.concatenate([np.arange(min(OWN, n)), tails[OWN:], [-1]]).astype(np.int32)
         self.bits = max(4, (8 * n).bit_length())
         self.table = np.full(1 << self.bits, n, np.int32)
         left = np.arange(n)
@@ -93,6 +99,33 @@ class Head:
         at[open_] = none
         return at
 
+    def classed(self, table: np.ndarray) -> None:
+        """Class the first ``SHAPED`` tokens by their company, the rows of a table that ``company`` summed up."""
+        n = min(SHAPED, len(self.hashes) - 1)
+        if n > OWN:
+            self.classes[OWN:n] = OWN + kinds(table[OWN:n].astype(np.float64), self.counts[OWN:n])
+
+
+def kinds(table: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Group rows of counts around ``KINDS`` centres: number of the group of each row, most frequent rows first.
+
+    Rows are compared by the roots of their smoothed shares; the first centres are frequent rows far from each other.
+    """
+    overall = table.sum(axis=0) / max(1.0, table.sum())
+    x = np.sqrt((table + SMOOTH * overall) / (table.sum(axis=1, keepdims=True) + SMOOTH))
+    some = x[: 100 * KINDS]
+    centres, apart = x[:1], ((some - x[0]) ** 2).sum(axis=1)
+    for _ in range(KINDS - 1):
+        far = int(np.argmax(apart * np.sqrt(counts[: len(some)])))
+        centres = np.vstack([centres, some[far]])
+        apart = np.minimum(apart, ((some - some[far]) ** 2).sum(axis=1))
+    for _ in range(GROUPINGS):
+        group = np.argmin((centres * centres).sum(axis=1) - 2 * (x @ centres.T), axis=1)
+        mass = np.bincount(group, counts, KINDS)
+        for k in np.flatnonzero(mass):
+            centres[k] = counts[group == k] @ x[group == k] / mass[k]
+    return group
+
 
 @dataclass
 class Batch:
@@ -130,6 +163,16 @@ def batches(texts: list[str | None], head: Head):
             words, starts = [], []
 
 
+def company(batch: Batch, into: np.ndarray) -> None:
+    """Add how often each frequent token stands just before and just after each of the first ``SHAPED`` tokens."""
+    before, after = batch.at[:-1], batch.at[1:]
+    inside = np.ones(len(batch.at), bool)
+    inside[batch.starts] = False
+    for half, (near, token) in enumerate(((before, after), (after, before))):
+        some = inside[1:] & (near < COMPANY) & (token < SHAPED)
+        into[half * COMPANY : (half + 1) * COMPANY] += np.bincount(near[some].astype(np.intp) * SHAPED + token[some], minlength=COMPANY * SHAPED).reshape(COMPANY, SHAPED)
+
+
 def _logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Classes by tokens, so that sums over the classes run along memory; worked out in strips that stay in a core's cache."""
     n = rows.shape[1]
@@ -182,10 +225,10 @@ def initial_weights(obs: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(w, np.float32)
 
 
-def _summed(docs: DataFrame, head, add_batch) -> np.ndarray:
-    """Sum of a ROWS x CLASSES table over all texts: one table a task, added up by block in two shuffles.
+def _summed(docs: DataFrame, head, add_batch, size: int = ROWS, depth: int = CLASSES) -> np.ndarray:
+    """Sum of a size x depth table over all texts: one table a task, added up by block in two shuffles.
 
-    add_batch(batch, table), whose table lies classes first, adds one batch's part; head: the broadcast head. The first shuffle adds up ``LEVEL`` tasks' tables at a
+    add_batch(batch, table), whose table lies depth x size, adds one batch's part; head: the broadcast head. The first shuffle adds up ``LEVEL`` tasks' tables at a
     time, so that no task of the second reads every task's table.
     """
 
@@ -197,11 +240,11 @@ def _summed(docs: DataFrame, head, add_batch) -> np.ndarray:
         for b in arrow:
             for at in range(0, b.num_rows, 1000):
                 for batch in batches(b.column(0).slice(at, 1000).to_pylist(), head.value):
-                    out = np.zeros((CLASSES, ROWS)) if out is None else out
+                    out = np.zeros((depth, size)) if out is None else out
                     add_batch(batch, out)
         if out is not None:
             level = TaskContext.get().partitionId() // LEVEL
-            cuts = range(0, ROWS, _BLOCK)
+            cuts = range(0, size, _BLOCK)
             yield rows_of([(k, level) for k in range(len(cuts))], [out[:, at : at + _BLOCK].T.astype(np.float32).tobytes() for at in cuts])
 
     def add(arrow):
@@ -216,9 +259,9 @@ def _summed(docs: DataFrame, head, add_batch) -> np.ndarray:
     kind = "block int, level int, part binary"
     some = docs.mapInArrow(per_task, kind).repartition("block", "level").mapInArrow(add, kind)
     rows = some.withColumn("level", F.lit(0)).repartition("block").mapInArrow(add, kind).collect()
-    out = np.zeros((ROWS, CLASSES))
+    out = np.zeros((size, depth))
     for r in rows:
-        part = np.frombuffer(bytes(r.part), np.float32).reshape(-1, CLASSES)
+        part = np.frombuffer(bytes(r.part), np.float32).reshape(-1, depth)
         out[r.block * _BLOCK : r.block * _BLOCK + len(part)] = part
     return out
 
@@ -266,15 +309,16 @@ def fit(texts: DataFrame, rounds: int = ROUNDS, head_size: int = HEAD) -> tuple[
     is_head = F.floor(F.log2("c") * 64) >= low
     top = counts.where(is_head).select("h", "k", "c").toPandas() if n else None
     hashes = top.h.to_numpy().astype(np.int64).view(np.uint64) if n else np.zeros(0, np.uint64)
-    head = Head(hashes, top.c.to_numpy() if n else np.zeros(0, np.int64))
+    head = Head(hashes, top.c.to_numpy() if n else np.zeros(0, np.int64), top.k.to_numpy() if n else None)
+    sc = texts.sparkSession.sparkContext
+    head.classed(_summed(texts, sc.broadcast(head), company, SHAPED, 2 * COMPANY))
     tails = {r.k: (r.n, r.c) for r in counts.where(~is_head).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).collect()}
     mass = np.bincount(head.classes[:-1], weights=head.counts[:-1] + 1, minlength=CLASSES).astype(np.float64) if n else np.zeros(CLASSES)
-    for k in range(OWN + BINS, CLASSES):
+    for k in range(OWN + KINDS, CLASSES):
         types, c = tails.get(k, (0, 0))
-        mass[k] = types + c + 1  # and one unknown token
+        mass[k] += types + c + 1  # and one unknown token
     total = int(head.counts.sum()) + sum(c for _, c in tails.values())
     types = n + sum(t for t, _ in tails.values())
-    sc = texts.sparkSession.sparkContext
     seen = sc.broadcast(head)
 
     obs = _summed(texts, seen, observed)
