@@ -3,8 +3,8 @@
 Texts are cut into words; every distinct word of a block of documents is encoded once. All words of a block stand in
 one symbol array with neighbour links, and an inverted index leads from a merge's rank to the positions where that
 pair of symbols stands. Merges are replayed in rank order over the index: each application touches one position and
-its two neighbours, which enter the index under their own ranks. A block is what Spark hands a task at a time (an Arrow
-batch), so memory does not grow with the corpus and nothing is shuffled; words of earlier blocks stay in a bounded
+its two neighbours, which enter the index under their own ranks. A block is some Arrow batches of a task, ``BLOCK_BYTES`` in
+all, so memory does not grow with the corpus and nothing is shuffled; words of earlier blocks stay in a bounded
 cache. The result equals the lowest-rank-first merging of each word alone.
 
 Defined results: a null text counts as empty; an empty text has no ids; rows are never merged, so repeated ids and
@@ -27,6 +27,8 @@ from vellum.llm.common import small_batches
 
 #: Words kept with their ids between blocks; beyond it the cache starts anew.
 CACHE_WORDS = 120_000
+#: Arrow batches replayed together, by bytes: a replay costs its merges' calls, however few words it has.
+BLOCK_BYTES = 16 << 20
 _NESTED_SPACE = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -175,6 +177,7 @@ class Encoder:
         self.whole = pattern != PATTERN  # what holds of spaces in the public pattern need not hold in others
         self.after: dict[str, bytes] = {}  # ids of chunks that a space stands before, that space included
         self.first: dict[str, bytes] = {}  # of chunks at a text's start, and of texts that go whole
+        self.long = False  # whether the last block left long texts in first
         self.token = self.replay.token
 
     def _parts(self, text: str) -> list[str]:
@@ -192,32 +195,55 @@ class Encoder:
         code = dict(zip(words, self.replay.encode([w.encode() for w in words]), strict=True))
         return [b"".join([code[w] for w in ws]) for ws in found]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of a block of texts. A text's parts are taken twice rather than held for all texts at once."""
+    def learn(self, parts_of_block) -> None:
+        """Make the ids of all parts of a block's texts known; the block comes as lists of texts, one at a time."""
         if len(self.after) > CACHE_WORDS:
             self.after.clear()
+        if len(self.first) > 10_000 or self.long:
+            self.first = {}
         new: set[str] = set()
         starts: set[str] = set()
-        for t in texts:
-            first, *rest = self._parts(t)
-            starts.add(first)
-            new |= set(rest).difference(self.after)
+        for texts in parts_of_block:
+            for t in texts:
+                first, *rest = self._parts(t)
+                starts.add(first)
+                new |= set(rest).difference(self.after)
         chunks, heads = list(new), list(starts.difference(self.first))
         got = self._ids([*(" " + c for c in chunks), *heads])
         self.after.update(zip(chunks, got, strict=False))
         self.first.update(zip(heads, got[len(chunks) :], strict=True))
+        self.long = any(len(h) > 200 for h in heads)
+
+    def known(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of the block learned last. A text's parts are taken anew rather than held for all texts at once."""
         out = []
         for t in texts:
             first, *rest = self._parts(t)
             out.append(b"".join([self.first[first], *map(self.after.__getitem__, rest)]))
-        if len(self.first) > 10_000 or any(len(h) > 200 for h in heads):
-            self.first = {}
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of a block of texts."""
+        self.learn([texts])
+        return self.known(texts)
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, memoryview(ids).cast("I")))
 
 
+def _blocks(batches):
+    """Arrow batches in lists of some ``BLOCK_BYTES``."""
+    block, size = [], 0
+    for b in batches:
+        block.append(b)
+        size += b.nbytes
+        if size >= BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
 @functools.lru_cache(maxsize=2)
 def _encoder(blob: bytes, pattern: str) -> Encoder:
     return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines())}, pattern)
@@ -236,17 +262,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
     def run(batches):
         enc = _encoder(blob.value, pattern)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            got = enc.encode(texts)
-            cols = [batch.column(0), pa.array([len(x) // 4 for x in got], pa.int64())]
-            if ids:
-                cols.append(pa.array(got, pa.binary()))
-            if decoded:
-                cols.append(pa.array([enc.decode(x) for x in got], pa.binary()))
-            if round_trip:
-                cols.append(pa.array([enc.decode(x) == t.encode() for x, t in zip(got, texts, strict=True)], pa.bool_()))
-            yield pa.RecordBatch.from_arrays(cols, names)
+        for block in _blocks(batches):
+            enc.learn(batch.column(1).to_pylist() for batch in block)
+            for batch in block:
+                texts = batch.column(1).to_pylist()
+                got = enc.known(texts)
+                cols = [batch.column(0), pa.array([len(x) // 4 for x in got], pa.int64())]
+                if ids:
+                    cols.append(pa.array(got, pa.binary()))
+                if decoded:
+                    cols.append(pa.array([enc.decode(x) for x in got], pa.binary()))
+                if round_trip:
+                    cols.append(pa.array([enc.decode(x) == t.encode() for x, t in zip(got, texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["id", "n_tokens", *["ids"] * ids, *["decoded"] * decoded, *["round_trip"] * round_trip]
     schema = f"id {slim.schema['id'].dataType.simpleString()}, n_tokens long" + ", ids binary" * ids + ", decoded binary" * decoded + ", round_trip boolean" * round_trip
