@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import bpe, decontaminate, html_text, line_dedup, maxent_lm, media, oracles, quality, simhash, substring_dedup, token_counts
+from vellum.llm import bpe, decontaminate, html_text, line_dedup, maxent_lm, media, oracles, packing, quality, simhash, substring_dedup, token_counts
 from vellum.llm.common import table
 
-RANKS = "byte_bpe_multi_50k.tiktoken"
+RANKS, WORDS = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
 
 def _remainder(column: str, by: int):
@@ -83,8 +83,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), end=2)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_text, op2_token_counts, op3_line_dedup, op4_bpe, op5_simhash, op6_maxent_lm, op7_substring_dedup, op8_media, op9_quality, op10_decontamination)
+    for f in (op1_html_text, op2_token_counts, op3_line_dedup, op4_bpe, op5_simhash, op6_maxent_lm, op7_substring_dedup, op8_media, op9_quality, op10_decontamination, op11_packing)
 }
 ORACLES = {"op7_substring_dedup": oracles.OP7, "op10_decontamination": oracles.OP10}
