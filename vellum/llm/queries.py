@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vellum.llm import bpe, decontaminate, html_text, line_dedup, maxent_lm, media, oracles, packing, quality, simhash, substring_dedup, token_counts
+from vellum.llm import alignment, bpe, decontaminate, html_text, line_dedup, maxent_lm, media, oracles, packing, prefix_trie, quality, simhash, substring_dedup, token_counts
 from vellum.llm.common import table
 
 RANKS, WORDS = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -87,8 +87,17 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), end=2)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sequences = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(sequences, 20, _remainder("conv_id", 4).cast("int")))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_html_text, op2_token_counts, op3_line_dedup, op4_bpe, op5_simhash, op6_maxent_lm, op7_substring_dedup, op8_media, op9_quality, op10_decontamination, op11_packing)
+    for f in (op1_html_text, op2_token_counts, op3_line_dedup, op4_bpe, op5_simhash, op6_maxent_lm, op7_substring_dedup, op8_media, op9_quality, op10_decontamination, op11_packing, op12_prefix_trie, op13_alignment)
 }
 ORACLES = {"op7_substring_dedup": oracles.OP7, "op10_decontamination": oracles.OP10}
