@@ -8,6 +8,7 @@ from array import array
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -49,6 +50,16 @@ def test_every_id_lies_in_one_piece(spark, size, open_windows, group, parts):
         assert at == size or at < size and at & (at - 1) == 0  # no window needs padding
 
 
+def test_chunks_have_the_tokenizers_ids():
+    rnd = random.Random(3)
+    alphabet = "aAzZ'sStTrReEvVmMlLdD09.,-<|>éÉßÀÿªº½²_´¨İΣ\u0301 "
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 14))) for _ in range(20_000)] + ODD
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    with open(PATH, encoding="utf-8") as f:
+        got = [ids for _, ids in packing.encoded([batch], f.read(), 2)]
+    assert [t for t, w, g in zip(texts, _want(texts, 2), got, strict=True) if w != g] == []
+
+
 def test_sequences(spark):
     docs = spark.createDataFrame([(1, "a b c"), (None, None), (1, "a b c")], "doc_id long, text string")
     pieces = packing.pack(docs, PATH, end=2, size=8, ids=True)
@@ -63,12 +74,9 @@ def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH, end=2).collect() == []
 
 
-def test_chunk_cache_keeps_what_is_in_use(monkeypatch):
-    from vellum.llm import chunks
-
-    monkeypatch.setattr(chunks, "KEPT", 2)
+def test_chunk_cache_keeps_what_is_in_use():
     made = []
-    cache = ChunkCache(lambda cs: [made.append(c) or c.upper() for c in cs])
+    cache = ChunkCache(lambda cs: [made.append(c) or c.upper() for c in cs], 2)
     for k in range(6):
         got = cache.of({"often", f"once{k}", "y" * 300})
         assert got["often"] == "OFTEN" and got["y" * 300] == "Y" * 300

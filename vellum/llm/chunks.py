@@ -5,27 +5,30 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-#: Chunks kept in each of the two generations, and most characters of a chunk that is kept.
-KEPT, LONG = 200_000, 200
+#: Most characters of a chunk that is kept.
+LONG = 200
 
 
 class ChunkCache:
     """Values of chunks, worked out for many new chunks at once. Chunks in use stay: the cache has two generations, and what
     is asked for moves to the younger one; when that is full the older one goes. Long chunks last for one block."""
 
-    def __init__(self, make: Callable[[list[str]], list]):
-        self.make = make
+    def __init__(self, make: Callable[[list[str]], list], kept: int = 200_000):
+        self.make, self.kept = make, kept
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
     def of(self, chunks: set[str]) -> dict[str, object]:
         """A dictionary that has the values of all the chunks."""
-        if len(self.young) > KEPT:
+        if len(self.young) > self.kept:
             self.old, self.young = self.young, {}
-        missing = chunks.difference(self.young)
-        back = missing.intersection(self.old)
-        self.young.update((c, self.old[c]) for c in back)
-        new = list(missing.difference(back))
+        old, young = self.old, self.young
+        new = []
+        for c in chunks.difference(young):
+            if c in old:
+                young[c] = old[c]
+            else:
+                new.append(c)
         made = dict(zip(new, self.make(new), strict=True)) if new else {}
         self.young.update((c, v) for c, v in made.items() if len(c) <= LONG)
         rest = {c: v for c, v in made.items() if len(c) > LONG}

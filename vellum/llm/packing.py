@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,6 +29,9 @@ from vellum.llm.chunks import ChunkCache, tokenizer
 from vellum.llm.common import cut, small_batches
 
 SIZE, OPEN, GROUP = 4096, 64, 64
+#: Chunks kept in each of the cache's two generations.
+KEPT = 400_000
+_PLAIN = re.compile(r"[\s!-~À-ÖØ-öø-ÿ]*").fullmatch
 _PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -138,7 +142,12 @@ def _rows(w: Window, sequence: int, with_ids: bool) -> Iterator[tuple]:
 @functools.lru_cache(maxsize=1)
 def _cache(blob: str) -> ChunkCache:
     t = tokenizer(blob)
-    return ChunkCache(lambda chunks: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(chunks, add_special_tokens=False)])
+    return ChunkCache(lambda chunks: [array("I", e.ids).tobytes() for e in t.encode_batch_fast(chunks, add_special_tokens=False)], KEPT)
+
+
+def chunks_of(text: str) -> list[str]:
+    """A text cut at spaces and line ends, in lower case if it is of ASCII and Latin-1 letters alone; in others case may change what characters are composed."""
+    return (text.lower() if _PLAIN(text) else text).replace("\n", " ").split(" ")
 
 
 def encoded(batches, blob: str, end: int) -> Iterator[tuple[object, bytes]]:
@@ -148,7 +157,7 @@ def encoded(batches, blob: str, end: int) -> Iterator[tuple[object, bytes]]:
     """
     cache, tail = _cache(blob), array("I", [end]).tobytes()
     for batch in batches:
-        chunks = [(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
+        chunks = [chunks_of(t or "") for t in batch.column(1).to_pylist()]
         known = cache.of({c for cs in chunks for c in cs})
         for key, cs in zip(batch.column(0).to_pylist(), chunks, strict=True):
             yield key, b"".join(map(known.__getitem__, cs)) + tail
@@ -160,7 +169,7 @@ def pack(
     """A row for each piece: id_col, start (its document's tokens before it), length, ids_crc32, doc_tokens (end token included),
     sequence_id, offset (in the sequence, gapless from 0)[, ids binary: little-endian uint32].
 
-    ``tokenizer_path``: a file of the tokenizers library whose tokens do not span white space; ``end``: the token that ends each document.
+    ``tokenizer_path``: a file of the tokenizers library that drops white space and case; ``end``: the token that ends each document.
     """
     spark = docs.sparkSession
     small_batches(spark)
