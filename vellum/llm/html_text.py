@@ -17,7 +17,8 @@ are over half of a page's main text (copies of one article at several places), t
 
 Defined results: a null, empty or textless page has the empty text; unclosed and crossed tags are closed as browsers do; a tag
 that the page's end cuts off is dropped; repeated pages each come back; a null url is a host of its own; elements nested over 256
-deep count as part of the 256th. Texts are never cut.
+deep count as part of the 256th, but for an article or main element that lies in no other. A page takes time in proportion to its length.
+Texts are never cut.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ LEAVES = "p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th figcaption".split()
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|select|button|canvas|audio|video"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^>\"'])*+)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^>\"'])*+)(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -61,12 +62,47 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    """An open element: tag, path, whether it is skipped, its outermost element named as furniture, whether it lies in the main element."""
+    """An open element: tag, path, whether it is skipped, its outermost element named as furniture, whether it lies in the main element,
+    and the place on the stack of the block element nearest to it, itself included."""
 
-    __slots__ = ("inside", "named", "path", "skip", "tag")
+    __slots__ = ("block", "inside", "named", "path", "skip", "tag")
 
-    def __init__(self, tag: str, path: str, skip: bool, named: str | None, inside: bool):
-        self.tag, self.path, self.skip, self.named, self.inside = tag, path, skip, named, inside
+    def __init__(self, tag: str, path: str, skip: bool, named: str | None, inside: bool, block: int):
+        self.tag, self.path, self.skip, self.named, self.inside, self.block = tag, path, skip, named, inside, block
+
+
+class Stack(list):
+    """Open elements, with how many there are of each tag, of inline ones and of those that hold an article; nothing is looked for by going through it."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.tags: dict[str, int] = {}
+        self.inline = self.articles = 0
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self._count(node.tag, 1)
+
+    def drop(self, down_to: int) -> None:
+        """Close elements until so many are left."""
+        while len(self) > down_to:
+            self._count(self.pop().tag, -1)
+
+    def close(self, tag: str) -> bool:
+        """Close the elements through the last one of the tag; False if there is none."""
+        if not self.tags.get(tag):
+            return False
+        while self[-1].tag != tag:
+            self.drop(len(self) - 1)
+        self.drop(len(self) - 1)
+        return True
+
+    def _count(self, tag: str, by: int) -> None:
+        self.tags[tag] = self.tags.get(tag, 0) + by
+        if tag in INLINE:
+            self.inline += by
+        elif tag in ("article", "main"):
+            self.articles += by
 
 
 def _furniture(names: str) -> bool:
@@ -99,7 +135,7 @@ def walk(page: str, main: str | None = None):
 
     Nodes know whether they lie in an element of the path ``main`` ("": anywhere).
     """
-    stack = [Node("", "", False, None, main == "")]
+    stack = Stack(Node("", "", False, None, main == "", 0))
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at and not stack[-1].skip:
@@ -110,11 +146,8 @@ def walk(page: str, main: str | None = None):
             continue
         tag = tag.lower()
         if m[2]:
-            if any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
-                if tag not in INLINE:
-                    yield ("break",)
+            if stack.close(tag) and tag not in INLINE:
+                yield ("break",)
             continue
         name, skip, named = _attributes(m[4]) if m[4] and not m[4].isspace() else ("", False, False)
         above = stack[-1]
@@ -126,29 +159,26 @@ def walk(page: str, main: str | None = None):
             continue
         if tag in INLINE:
             # kept on the stack where it matters which closing tag is whose: in and below inline elements that are set apart
-            if skip or named or any(n.tag in INLINE for n in stack[1:]):
-                path = f"{above.path}/{tag}{name}" if named else above.path
-                stack.append(Node(tag, path, above.skip or skip, above.named or (path if named else None), above.inside))
+            if skip or named or stack.inline:
+                path = f"{above.path}/{tag}{name}" if named and len(stack) <= DEPTH else above.path
+                stack.push(Node(tag, path, above.skip or skip, above.named or (path if named else None), above.inside, above.block))
             continue
-        k = len(stack) - 1
-        while stack[k].tag in INLINE:
-            k -= 1
-        if stack[k].tag == "p":
-            del stack[k:]
+        if stack[above.block].tag == "p":
+            stack.drop(above.block)
         closes = CLOSES.get(tag)
         if closes and stack[-1].tag in closes:
-            stack.pop()
+            stack.drop(len(stack) - 1)
             if tag == "tr" and stack[-1].tag == "tr":
-                stack.pop()
+                stack.drop(len(stack) - 1)
         yield ("break",)
         above = stack[-1]
         whole = tag in ("html", "body", "article", "main")
-        inside = any(n.tag in ("article", "main") for n in stack)
-        skip = above.skip or not whole and (skip or tag in BOILER_TAGS or tag == "header" and not inside)
-        deep = len(stack) > DEPTH
+        skip = above.skip or not whole and (skip or tag in BOILER_TAGS or tag == "header" and not stack.articles)
+        # below DEPTH only the first article or main element has a path of its own
+        deep = len(stack) > DEPTH and (stack.articles or tag not in ("article", "main"))
         path = above.path if deep else f"{above.path}/{tag}{name}"
         outer = None if whole else above.named or (path if named else None)  # what holds the article is no furniture
-        stack.append(Node(tag, path, skip, outer, above.inside or path == main))
+        stack.push(Node(tag, path, skip, outer, above.inside or path == main, len(stack)))
         if not deep:
             yield "open", path
     if at < len(page) and not stack[-1].skip:
