@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.llm.common import bounded, cut
+from vellum.llm.common import bounded, cut, unused
 
 #: Distinct lines under one index entry beyond which deletion variants take the place of pairs.
 HOT = 64
@@ -160,13 +160,14 @@ def dedup(docs: DataFrame, *, threshold: int = 1, min_chars: int = 10, hot: int
         .join(judged, ["h", "g"], "left")
         .select("doc", "no", (F.col("blank") | ((F.col("first") == F.col("least")) & F.col("near").isNull())).alias("keep"))
     )
-    flags = kept.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("no", "keep"))).alias("flags"))
-    out = docs.withColumn("doc__", F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))).join(flags.withColumnRenamed("doc", "doc__"), "doc__", "left").drop("doc__")
-    stay = F.filter(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x, i: F.get(F.col("flags.keep"), i))
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("flags")).cast("long")
-    n_stay = F.size(F.filter("flags", lambda f: f["keep"]))
+    doc, flags = unused(docs, "doc"), unused(docs, "flags")
+    of = kept.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("no", "keep"))).alias(flags)).withColumnRenamed("doc", doc)
+    out = docs.withColumn(doc, F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))).join(of, doc, "left").drop(doc)
+    stay = F.filter(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x, i: F.get(F.col(flags)["keep"], i))
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(flags)).cast("long")
+    n_stay = F.size(F.filter(flags, lambda f: f["keep"]))
     return out.select(
         *[F.when(F.col(text_col).isNotNull(), F.array_join(stay, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         n_lines.alias("n_lines"),
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("flags") - n_stay).cast("long").alias("n_removed"),
+        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(flags) - n_stay).cast("long").alias("n_removed"),
     )
