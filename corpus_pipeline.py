@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vellum.llm import bpe, decontaminate, line_dedup, quality, simhash
-from vellum.llm.common import delete, new_path, table
+from vellum.llm.common import delete, new_path, table, unused
 from vellum.llm.queries import RANKS
 
 THRESHOLD = 0.3
@@ -28,9 +28,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return docs.where(quality.scorer(spark, voter)(F.col("text")) >= THRESHOLD)
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns of these names, which an operator adds itself, renamed; and the columns' names before by those now, in order."""
+    now = {c: unused(docs, f"{c}_of_table") if c.lower() in names else c for c in docs.columns}
+    return docs.withColumnsRenamed({c: n for c, n in now.items() if c != n}), {n: c for c, n in now.items()}
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that stand, equal or nearly so, earlier in the corpus; all documents stay."""
-    kept = line_dedup.dedup(docs).drop("n_lines", "n_removed")
+    moved, names = aside(docs, "n_lines", "n_removed")
+    kept = line_dedup.dedup(moved).select(*[F.col(n).alias(c) for n, c in names.items()])
     return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
@@ -45,8 +52,9 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a twentieth lies in benchmark windows."""
-    found = decontaminate.contained(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~decontaminate.contaminated()).select(*docs.columns)
+    moved, names = aside(docs, "n_words", "n_hit", "n_items", "items", "spans")
+    found = decontaminate.contained(moved, table(spark, sf_dir, "benchmark"))
+    return found.where(~decontaminate.contaminated()).select(*[F.col(n).alias(c) for n, c in names.items()])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
