@@ -4,6 +4,8 @@ from __future__ import annotations
 
 #: White space beyond what Java's and RE2's \s share, as it stands inside a bracket class.
 SPACES = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same characters themselves.
+SPACE_CHARACTERS = " \t\n\x0b\f\r\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Any character but a line end.
 NOT_LINE_END = r"[^\n\r\x{2028}\x{2029}]"
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"

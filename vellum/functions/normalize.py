@@ -15,7 +15,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from vellum.functions.dialect import SPACES, java
+from vellum.functions.dialect import SPACE_CHARACTERS, SPACES, java
 
 # Character sets.
 INVISIBLE = r"[\x{AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{206A}-\x{206F}\x{FEFF}]"
@@ -59,7 +59,8 @@ def line_feeds(c: Column) -> Column:
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACES}]+|[{SPACES}]+\\z", "")
+    """From both ends only: a pattern would try every run of white space inside."""
+    return F.btrim(c, F.lit(SPACE_CHARACTERS))
 
 
 def shared_layer(c: Column) -> Column:
@@ -102,9 +103,12 @@ def caps_fires(c: Column, profile: str = "documented") -> Column:
     return ~F.trim(c).rlike(LABEL[profile].replace("$", r"\z")) & (F.length(c) > CAPS_LENGTH) & (upper_ratio(c) > CAPS_SHARE)
 
 
-def split_code(c: Column, profile: str) -> Column:
-    """Prose with a mark for each code block, before collapsing."""
-    codes = F.regexp_extract_all(c, F.lit(_CODE_JAVA), F.lit(0))
+def code_blocks(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(_CODE_JAVA), F.lit(0))
+
+
+def split_code(c: Column, codes: Column, profile: str) -> Column:
+    """Prose with a mark for each code block, before collapsing. codes: the blocks, as a column of their own."""
     wide = lambda k: F.concat(F.lit("\n" + BLOCK), k.cast("string"), F.lit(END + "\n"))
     mark = lambda b, k: wide(k)
     if profile == "documented":
@@ -113,11 +117,17 @@ def split_code(c: Column, profile: str) -> Column:
     return F.array_join(F.zip_with(F.split(c, _CODE_JAVA, -1), marks, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
 
 
-def join_code(prose: Column, original: Column, profile: str) -> Column:
-    """Code blocks back at their marks, fenced ones on lines of their own; runs of line feeds cut to two."""
-    codes = F.regexp_extract_all(original, F.lit(_CODE_JAVA), F.lit(0))
+def prose_parts(prose: Column) -> Column:
+    """Prose cut at the marks of code blocks."""
+    return F.split(prose, f"{BLOCK}[0-9]+{END}|{INLINE}[0-9]+{INLINE_END}", -1)
+
+
+def join_code(parts: Column, codes: Column, profile: str) -> Column:
+    """Code blocks back between the parts of prose, fenced ones on lines of their own; runs of line feeds cut to two.
+
+    parts and codes: columns of their own, since every step of the functions below reads them, and would work an expression out anew.
+    """
     lines = lambda b: F.concat(F.lit("\n"), b, F.lit("\n"))
-    parts = F.split(prose, f"{BLOCK}[0-9]+{END}|{INLINE}[0-9]+{INLINE_END}", -1)
     fenced = (lambda b: b.startswith("```")) if profile == "documented" else (lambda b: F.lit(True))
     n = F.size(parts)
     alone = lambda i: F.coalesce(fenced(F.get(codes, i)), F.lit(False))  # noqa: E731  has lines of its own
@@ -155,15 +165,17 @@ def normalize(df: DataFrame, text_col: str = "text", profile: str = "documented"
     """Add masked, text_regex, text_nlp and was_caps_converted; steps are columns of their own, so none is worked out twice."""
     has_code = F.col("masked").contains("`")
     d = df.withColumn("masked", shared_layer(F.col(text_col)))
-    d = d.withColumn("prose__", collapse(ascii_punctuation(F.when(has_code, split_code(F.col("masked"), profile)).otherwise(F.col("masked")))))
+    d = d.withColumn("codes__", F.when(has_code, code_blocks(F.col("masked"))))
+    d = d.withColumn("prose__", collapse(ascii_punctuation(F.when(has_code, split_code(F.col("masked"), F.col("codes__"), profile)).otherwise(F.col("masked")))))
     d = d.withColumn("nlp__", sentence_bounds(tidy_punctuation(collapse(ascii_punctuation(F.col("masked"))))))
     d = d.withColumn("caps_r__", caps_fires(F.col("prose__"), profile)).withColumn("caps_n__", caps_fires(F.col("nlp__"), profile))
     d = d.withColumn("prose__", F.when(F.col("caps_r__"), sentence_case(F.col("prose__"))).otherwise(F.col("prose__")))
     d = d.withColumn("nlp__", F.when(F.col("caps_n__"), sentence_case(F.col("nlp__"))).otherwise(F.col("nlp__")))
     plain = trim_space(F.regexp_replace(F.col("prose__"), "\n{3,}", "\n\n"))
-    d = d.withColumn("text_regex", F.when(has_code, join_code(F.col("prose__"), F.col("masked"), profile)).otherwise(plain))
+    d = d.withColumn("parts__", F.when(has_code, prose_parts(F.col("prose__"))))
+    d = d.withColumn("text_regex", F.when(has_code, join_code(F.col("parts__"), F.col("codes__"), profile)).otherwise(plain))
     d = d.withColumn("text_nlp", raise_starts(F.col("nlp__")))
-    return d.withColumn("was_caps_converted", F.col("caps_r__") | F.col("caps_n__")).drop("prose__", "nlp__", "caps_r__", "caps_n__")
+    return d.withColumn("was_caps_converted", F.col("caps_r__") | F.col("caps_n__")).drop("prose__", "nlp__", "caps_r__", "caps_n__", "codes__", "parts__")
 
 
 def legacy(c: Column) -> Column:

@@ -40,15 +40,19 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def _near(phrase: str) -> str:
-    """SQL test of a window w (w: words, l: length) for being similar enough to the phrase.
+    """SQL test of a window w for being similar enough to the phrase.
 
     Within the threshold lengths differ by at most a fifth of the longer, so others are not compared; and no more edits are
     counted than the longest such window may have. SQL text, since dozens of such tests are slow to build call by call.
     """
-    n = len(phrase)
-    low, high = -(-n * 4 // 5), n * 5 // 4
-    edits = f"levenshtein(w.w, {_quote(phrase)}, {high // 5})"
-    return f"(w.l between {low} and {high} and {edits} >= 0 and 1D - {edits} / greatest(w.l, {n}) >= {data.FUZZY_THRESHOLD}D)"
+    low, high = _lengths([phrase])
+    edits = f"levenshtein(w, {_quote(phrase)}, {high // 5})"
+    return f"(length(w) between {low} and {high} and {edits} >= 0 and 1D - {edits} / greatest(length(w), {len(phrase)}) >= {data.FUZZY_THRESHOLD}D)"
+
+
+def _lengths(phrases: list[str]) -> tuple[int, int]:
+    """Least and greatest length of what may be similar to one of the phrases."""
+    return min(-(-len(p) * 4 // 5) for p in phrases), max(len(p) * 5 // 4 for p in phrases)
 
 
 def _quote(text: str | None) -> str:
@@ -60,22 +64,28 @@ def strings(words) -> Column:
     return F.expr("array(" + ", ".join(map(_quote, dict.fromkeys(words))) + ")")
 
 
-def first_window(column: str, phrase: str) -> str:
-    """SQL of the place of the first window similar enough to the phrase, null if there is none."""
-    return f"get(filter({column}, w -> {_near(phrase)}), 0).i"
+def _window(words: str, n: int, test: str) -> str:
+    """SQL test of the n words from place i on, joined by spaces; the joined text is named w in it and held for one place at a time."""
+    return f"exists(array(array_join(slice({words}, i + 1, {n}), ' ')), w -> {test})"
 
 
-def windows(words: Column, n: int) -> Column:
-    """All runs of n words: place, the words joined by spaces, and their length."""
-    count = F.size(words) - n
-    runs = F.transform(F.sequence(F.lit(0), count), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("w")))
-    runs = F.transform(runs, lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"), F.length(x["w"]).alias("l")))
-    return F.when(count >= 0, runs).otherwise(F.array().cast("array<struct<i:int,w:string,l:int>>"))
+def near_places(words: str, n: int) -> str:
+    """SQL of the places from which n words are similar to any phrase of n words, in order.
+
+    Their lengths are summed first, so that few windows are put together; only places are kept, so that a long text needs no more
+    room than its words.
+    """
+    phrases = [p for p, *_ in data.TRIGGERS if p.count(" ") + 1 == n]
+    low, high = _lengths(phrases)
+    length = " + ".join(f"length(get({words}, i + {k}))" for k in range(n)) + f" + {n - 1}"
+    any_of = " or ".join(map(_near, phrases))
+    places = f"filter(sequence(0, size({words}) - {n}), i -> {length} between {low} and {high} and {_window(words, n, any_of)})"
+    return f"case when size({words}) >= {n} then {places} else cast(array() as array<int>) end"
 
 
-def candidates(column: str, n: int) -> Column:
-    """Of a column of windows of n words, those similar to any phrase of n words; the phrases then look at these few alone."""
-    return F.expr(f"filter({column}, w -> {' or '.join(_near(p) for p, *_ in data.TRIGGERS if p.count(' ') + 1 == n)})")
+def first_place(places: str, words: str, phrase: str) -> str:
+    """SQL of the first of the places from which words are similar to the phrase, null if there is none."""
+    return f"get(filter({places}, i -> {_window(words, phrase.count(' ') + 1, _near(phrase))}), 0)"
 
 
 def _bare(word: Column) -> Column:
@@ -140,17 +150,17 @@ def trigger_finding(words: Column, hit: Column) -> Column:
 
 
 def with_trigger_findings(df: DataFrame, nlp_col: str = "text_nlp", out: str = "triggers") -> DataFrame:
-    """Add the array of trigger findings. Words, windows and window places are columns of their own."""
+    """Add the array of trigger findings. Words and places of windows are columns of their own."""
     d = df.withColumns({"words__": F.filter(F.split(F.col(nlp_col), " "), lambda w: w != ""), "lower__": F.split(F.lower(F.col(nlp_col)), " ")})
     sizes = sorted({p.count(" ") + 1 for p, *_ in data.TRIGGERS})
-    d = d.withColumns({f"w{n}__": windows(F.col("lower__"), n) for n in sizes}).withColumns({f"w{n}__": candidates(f"w{n}__", n) for n in sizes})
+    d = d.withColumns({f"at{n}__": F.expr(near_places("lower__", n)) for n in sizes})
     hits = ", ".join(
         f"named_struct('k', {k}, 'n', {p.count(' ') + 1}, 'category', {_quote(c)}, 'risk', {_quote(r)}, 'needs', cast({_quote('|'.join(data.TERMS[need]) if need else None)} as string), "
-        f"'at', {first_window(f'w{p.count(chr(32)) + 1}__', p)})"
+        f"'at', {first_place(f'at{p.count(chr(32)) + 1}__', 'lower__', p)})"
         for k, (p, c, r, need) in enumerate(data.TRIGGERS)
     )
     none = "cast(array() as array<struct<k:int,n:int,category:string,risk:string,needs:string,at:int>>)"
-    any_window = " or ".join(f"size(w{n}__) > 0" for n in sizes)
+    any_window = " or ".join(f"size(at{n}__) > 0" for n in sizes)
     d = d.withColumn("at__", F.expr(f"case when {any_window} then filter(array({hits}), h -> h.at is not null) else {none} end"))
     found = F.filter(F.transform("at__", lambda h: trigger_finding(F.col("words__"), h)), lambda f: f.isNotNull())
-    return d.withColumn(out, found.cast(f"array<{FINDING}>")).drop("words__", "lower__", "at__", *[f"w{n}__" for n in sizes])
+    return d.withColumn(out, found.cast(f"array<{FINDING}>")).drop("words__", "lower__", "at__", *[f"at{n}__" for n in sizes])

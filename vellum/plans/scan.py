@@ -23,7 +23,7 @@ def scan(df: DataFrame, text_col: str = "text", *, profile: str = "documented",
     Null and blank texts have no findings, score 0, level "none".
     """
     d = score.scored(findings(df, text_col, profile=profile, mode=mode, rule_list=rule_list))
-    return d.withColumn("safe_text", redact.safe_text(F.col(text_col), F.col("findings"))).withColumn("submit_allowed", policy.submit_allowed(F.col("risk_level")))
+    return redact.with_safe_text(d, text_col).withColumn("submit_allowed", policy.submit_allowed(F.col("risk_level")))
 
 
 def explode_findings(scanned: DataFrame, *keys: str) -> DataFrame:
