@@ -15,7 +15,7 @@ from vellum.functions.dialect import sql_string as s
 from vellum.operators import lexicon, lexicon_data as data, redact, rules, score
 from vellum.plans import policy, scan as plans
 from vellum.sources.tables import pages_text, spread, table
-from vellum.streaming import events as ev
+from vellum.streaming import events as ev, timed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -291,7 +291,7 @@ def risk_presentation(spark, sf_dir):
     return d.select("doc_id", "risk_level", *shown, F.size("p.actions").alias("n_actions"), policy.bar_text(F.col("n")).alias("bar_text"), "submit_allowed")
 
 
-_KINDS = " ".join(f"WHEN {s(k)} THEN {s(v[2])}" for k, v in policy.REASONS.items())
+_KINDS = " ".join(f"WHEN {s(k)} THEN {s(v)}" for k, v in policy.KINDS.items())
 
 
 @register(f"{_PROMPT_ALL} SELECT CASE pattern_id {_KINDS} ELSE 'Sensitive Information' END AS information, pattern_id, count(*) AS n FROM f GROUP BY ALL")
@@ -300,7 +300,7 @@ def explain_findings(spark, sf_dir):
     return found.groupBy(policy.explanation(F.col("pattern_id")).alias("information"), "pattern_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-_REASONS = " ".join(f"WHEN {s(k)} THEN {s(v[0])} || chr(10) || 'Rule: ' || {s(v[1])} || chr(10) || 'Category: ' || {s(v[2])} || '.'" for k, v in policy.REASONS.items())
+_REASONS = " ".join(f"WHEN {s(k)} THEN {s(v)}" for k, v in policy.REASONS.items())
 
 
 @register(f"{_PROMPT_ALL} SELECT doc_id, pattern_id, CASE pattern_id {_REASONS} ELSE {s(policy.OTHER_REASON)} END AS reason FROM f")
@@ -400,6 +400,22 @@ def stream_submit_gate(spark, sf_dir):
     return ev.submit_gate(_acts(spark, sf_dir))
 
 
+@register(
+    f"""WITH {_A}, e AS (SELECT *, count(*) FILTER (type = 'input') OVER (PARTITION BY tab_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM a),
+r AS (SELECT tab_id, epoch, ts, event_id, risk_level FROM e WHERE type = 'result'), i AS (SELECT tab_id, ts, event_id FROM e WHERE type = 'input'),
+s AS (SELECT s.tab_id, s.event_id, s.text, trim(s.text) = '' AS blank, s.ts + INTERVAL 2 HOUR AS deadline,
+ (SELECT arg_max(r.risk_level, (r.ts, r.event_id)) FROM r WHERE r.tab_id = s.tab_id AND r.epoch = s.epoch AND (r.ts, r.event_id) < (s.ts, s.event_id)) AS b,
+ (SELECT arg_min(r.risk_level, (r.ts, r.event_id)) FROM r WHERE r.tab_id = s.tab_id AND r.epoch = s.epoch AND (r.ts, r.event_id) > (s.ts, s.event_id)) AS f,
+ (SELECT min(r.ts) FROM r WHERE r.tab_id = s.tab_id AND r.epoch = s.epoch AND (r.ts, r.event_id) > (s.ts, s.event_id)) AS f_ts,
+ (SELECT min(i.ts) FROM i WHERE i.tab_id = s.tab_id AND (i.ts, i.event_id) > (s.ts, s.event_id)) AS i_ts FROM e s WHERE s.type = 'submit'),
+l AS (SELECT *, CASE WHEN blank THEN 'none' WHEN b IS NOT NULL THEN b WHEN f_ts <= deadline THEN f END AS level, NOT blank AND b IS NULL AS waited FROM s)
+SELECT tab_id, event_id, level, coalesce(level, '') = 'none' AS allowed, waited, waited AND level IS NULL AND NOT coalesce(i_ts <= deadline, false) AS timed_out,
+ CASE WHEN waited AND level IS NULL AND NOT coalesce(i_ts <= deadline, false) THEN text END AS text FROM l"""
+)
+def stream_timed_gate(spark, sf_dir):
+    return timed.timed_gate(_acts(spark, sf_dir), budget=F.lit(7_200_000))
+
+
 @register(f"WITH {_A} SELECT tab_id, event_id, text FROM (SELECT *, lag(text) OVER w AS p, lag(type) OVER w AS k, row_number() OVER w AS rn FROM a WINDOW w AS (PARTITION BY tab_id ORDER BY ts, event_id)) WHERE rn = 1 OR text IS DISTINCT FROM p OR k = 'send_anyway'")
 def stream_send_anyway(spark, sf_dir):
     return ev.changed(_acts(spark, sf_dir), kind="type").select("tab_id", "event_id", "text")

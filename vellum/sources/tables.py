@@ -5,11 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from vellum.operators import rules
+from vellum.operators import lexicon_data, rules, score
 from vellum.plans.scan import scan
+from vellum.streaming.events import badge_state
 
 EVENT = T.StructType().add("tab_id", "long").add("ts", "timestamp").add("event_id", "long").add("type", "string").add("risk_level", "string").add("text", "string")
 
@@ -35,28 +37,61 @@ def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 64) ->
     return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+#: Most rules that a stored table may have; they are read by the driver, as each becomes expressions of the plan.
+MOST_RULES = 1000
+RULE = "id string, label string, risk string, pattern string, predicate string, safe array<struct<part: string, argument: string>>, ord int"
+
+
 def bundled_rules(spark: SparkSession) -> DataFrame:
-    """The rules as a table: id, label, risk, pattern, predicate, ord."""
-    return spark.createDataFrame([(r.id, r.label, r.risk, r.pattern, r.predicate, k) for k, r in enumerate(rules.RULES)], "id string, label string, risk string, pattern string, predicate string, ord int")
+    """The rules as a table: id, label, risk, pattern, predicate, safe (null: the replacement that the id has here), ord."""
+    return spark.createDataFrame([(r.id, r.label, r.risk, r.pattern, r.predicate, None, k) for k, r in enumerate(rules.RULES)], RULE)
+
+
+def bundled_lexicon(spark: SparkSession) -> dict[str, DataFrame]:
+    """The other bundled lists as tables: terms (category, term, risk, ord), triggers (phrase, category, risk, needs, ord), places (name, ord; longest first)."""
+    terms = [(c, t, lexicon_data.TERM_RISK[c], k) for c, ts in lexicon_data.TERMS.items() for k, t in enumerate(ts)]
+    triggers = [(p, c, r, need, k) for k, (p, c, r, need) in enumerate(lexicon_data.TRIGGERS)]
+    return {
+        "terms": spark.createDataFrame(terms, "category string, term string, risk string, ord int"),
+        "triggers": spark.createDataFrame(triggers, "phrase string, category string, risk string, needs string, ord int"),
+        "places": spark.createDataFrame([(p, k) for k, p in enumerate(lexicon_data.PLACES)], "name string, ord int"),
+    }
 
 
 def rules_from(stored: DataFrame | None) -> list[rules.Rule]:
-    """Rules with the labels, risks and patterns of a stored table, or the bundled ones if it has none.
+    """The rules of a stored table in order of ord, or the bundled ones if it has none; a rule that the table lacks is off.
 
-    Only known ids count, since replacements are functions, so no more rows reach the driver than there are rules (of several
-    with one id, the first by ord); a rule that the table lacks is off.
+    Of several rows with one id the first by ord counts. A row's replacement is put together of the parts in its ``safe`` (see
+    ``rules.PARTS``); without one, a known id has its own replacement, any other "[REDACTED]". Rows without an id, of an unknown risk, or whose pattern
+    or replacement cannot be read are left out. A table of over ``MOST_RULES`` ids is refused.
     """
-    rows = []
-    if stored is not None:
-        known = stored.where(F.col("id").isin(list(rules.BY_ID))).groupBy("id").agg(F.min(F.struct("ord", "label", "risk", "pattern")).alias("r"))
-        rows = known.select("id", "r.*").orderBy("ord", "id").collect()
-    found = [rules.Rule(r.id, r.label, r.risk, r.pattern, b.predicate, b.safe, b.needs if r.pattern == b.pattern else lambda t: F.lit(True)) for r in rows if (b := rules.BY_ID.get(r.id))]
-    return found or rules.RULES
+    if stored is None:
+        return rules.RULES
+    have = [F.col(c) if c in stored.columns else F.lit(None).cast(t).alias(c) for c, t in (("predicate", "string"), ("safe", "array<struct<part: string, argument: string>>"))]
+    first = stored.where("id is not null").select("id", "ord", "label", "risk", "pattern", *have).groupBy("id").agg(F.min_by(F.struct("label", "risk", "pattern", "predicate", "safe"), F.struct("ord", "pattern")).alias("r"), F.min("ord").alias("ord"))
+    rows = first.select("id", "ord", "r.*").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"a table of over {MOST_RULES} rules")
+    made = [_rule(stored.sparkSession, r) for r in sorted(rows, key=lambda r: (r.ord is not None, r.ord, r.id))]
+    return [r for r in made if r] or rules.RULES
+
+
+def _rule(spark: SparkSession, row) -> rules.Rule | None:
+    known = rules.BY_ID.get(row.id)
+    try:
+        pattern = spark._jvm.java.util.regex.Pattern.compile(rules.search(row.pattern or "")[0])
+        safe = rules.replacement([(p.part, p.argument) for p in row.safe]) if row.safe is not None else known.safe if known else lambda m: F.lit("[REDACTED]")
+    except (PySparkException, Py4JJavaError, ValueError, AttributeError):
+        return None
+    if row.risk not in score.LEVELS or pattern.matcher("").find():  # a pattern that finds nothing at all finds it everywhere
+        return None
+    needs = known.needs if known and known.pattern == row.pattern else lambda t: F.lit(True)
+    return rules.Rule(row.id, row.label or row.id, row.risk, row.pattern, row.predicate or (known.predicate if known else None), safe, needs)
 
 
 class RuleCache:
     """The rules of a Parquet table, read again when older than ``ttl`` seconds or refreshed; the last known, else the bundled,
-    ones where it cannot be read."""
+    ones where it cannot be read, whatever the reason."""
 
     def __init__(self, spark: SparkSession, path: str, ttl: float = 3600.0, clock: Callable[[], float] = time.monotonic):
         self.spark, self.path, self.ttl, self.clock = spark, path, ttl, clock
@@ -69,11 +104,60 @@ class RuleCache:
         if self.read_at is None or self.clock() - self.read_at >= self.ttl:
             try:
                 self.known, self.read_at = rules_from(self.spark.read.parquet(self.path)), self.clock()
-            except AnalysisException:
+            except (PySparkException, Py4JJavaError, ValueError):
                 self.read_at = None  # tried again at the next batch
         return self.known
 
 
+class LatestTable:
+    """A table of one row a key in a folder of Parquet files, brought up to date by numbered batches.
+
+    Rows lie in buckets by key. A batch writes the buckets that it touches anew, under its number; the newest of each bucket counts. A
+    batch that is done again reads only what batches before it wrote and writes over its own, so it changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, newest: list[str], buckets: int = 64):
+        self.spark, self.path, self.key, self.newest, self.buckets = spark, path, key, newest, buckets
+
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """The rows, of batches with a number under ``before`` if given; None if there are none."""
+        try:
+            rows = self.spark.read.parquet(self.path)
+        except AnalysisException:
+            return None
+        rows = rows if before is None else rows.where(F.col("batch") < before)
+        # the folders' names alone; a row for each bucket
+        last = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(last), ["bucket", "batch"]).drop("batch")
+
+    def upsert(self, changes: DataFrame, number: int) -> None:
+        """Put the newest row of each key in its bucket; of equal ones the stored row stays."""
+        changes = changes.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")).persist()
+        old = self.read(number)
+        rows = changes.withColumn("fresh", F.lit(0))
+        if old is not None:
+            touched = changes.select("bucket").distinct()
+            rows = rows.unionByName(old.join(F.broadcast(touched), "bucket", "left_semi").withColumn("fresh", F.lit(1)))
+        best = rows.groupBy("bucket", self.key).agg(F.max_by(F.struct(*[c for c in changes.columns if c not in ("bucket", self.key)]), F.struct(*self.newest, "fresh")).alias("r"))
+        best.select(self.key, "r.*", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={number}")
+        changes.unpersist()
+
+
+def badge_stream(events: DataFrame, into: LatestTable, checkpoint: str):
+    """A started query that keeps the last state of every tab in a table until the input is used up.
+
+    Each micro-batch is reduced to its tabs' last events, which replace older ones there; nothing is kept in the stream's own state. Late
+    events count by their time, those of a batch that is done again once.
+    """
+
+    def update(batch: DataFrame, number: int) -> None:
+        row = F.struct(badge_state(F.col("risk_level"), F.col("type")).alias("badge"), "ts", "event_id")
+        last = batch.where("tab_id is not null").groupBy("tab_id").agg(F.max_by(row, F.struct("ts", "event_id")).alias("r")).select("tab_id", "r.*")
+        into.upsert(last, number)
+
+    return events.writeStream.outputMode("update").foreachBatch(update).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def scan_stream(events: DataFrame, cache: RuleCache, results: str, relay: str, checkpoint: str):
     """A started query that scans every micro-batch of events by the rules of its time and writes two sinks until the input is used up.
 

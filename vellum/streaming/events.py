@@ -30,10 +30,13 @@ def debounced(events: DataFrame, *, tab: str = "tab_id", ts: str = "ts", order:
 
 
 def debounced_stream(events: DataFrame, *, tab: str = "tab_id", ts: str = "ts", order: str = "event_id", value: str = "text", gap: str = DEBOUNCE, late: str = "10 seconds") -> DataFrame:
-    """The same over a stream, by session windows; late events beyond the watermark are left out."""
+    """The same over a stream, by session windows; late events beyond the watermark are left out.
+
+    Session windows join events exactly a gap apart, which here are of two bursts, so they are a microsecond shorter.
+    """
     return (
         events.withWatermark(ts, late)
-        .groupBy(tab, F.session_window(ts, gap).alias("session"))
+        .groupBy(tab, F.session_window(ts, f"{gap} -1 microseconds").alias("session"))
         .agg(F.max_by(value, F.struct(ts, order)).alias(value), F.max(ts).alias(ts), F.count(F.lit(1)).alias("n_events"))
         .select(tab, ts, value, "n_events", F.col("session.start").alias("burst_start"))
     )
@@ -112,9 +115,14 @@ def auto_open(events: DataFrame, *, tab: str = "tab_id", ts: str = "ts", order:
     return d.withColumn("nth__", nth).where(high & (F.col("nth__") == 1)).drop("epoch__", "nth__")
 
 
+def badge_state(level: Column, kind: Column) -> Column:
+    """The badge that an event leads to: a navigation resets it to "active", sending anyway to "none"."""
+    return F.when(kind == "navigate", "active").when(kind == "send_anyway", "none").otherwise(F.coalesce(level, F.lit("active")))
+
+
 def badges(events: DataFrame, *, tab: str = "tab_id", ts: str = "ts", order: str = "event_id", level: str = "risk_level", kind: str = "type") -> DataFrame:
-    """The last state of every tab; a navigation resets it to "active", sending anyway to "none"."""
-    state = F.when(F.col(kind) == "navigate", "active").when(F.col(kind) == "send_anyway", "none").otherwise(F.coalesce(level, F.lit("active")))
+    """The last state of every tab."""
+    state = badge_state(F.col(level), F.col(kind))
     return events.groupBy(tab).agg(F.max_by(state, F.struct(ts, order)).alias("badge"), F.max(ts).alias(ts), F.count(F.lit(1)).alias("n_events"))
 
 
