@@ -47,5 +47,29 @@ def re2(pattern: str) -> str:
     return _expand(pattern, r"\b")
 
 
+def any_of(words) -> str:
+    """A pattern of some plain words with their common beginnings written once, so that a place of the text is tried against one letter a branch instead of against every word.
+
+    It finds where any of the words begins; of words that begin alike it matches the longest.
+    """
+
+    def branch(rest: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for w in rest:
+            if w:
+                heads.setdefault(w[0], []).append(w[1:])
+        parts = [_plain(c) + branch(sorted(set(tails))) for c, tails in heads.items()]
+        if not parts:
+            return ""
+        joined = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+        return joined if "" not in rest else f"(?:{joined})?"
+
+    return branch(sorted(set(words)))
+
+
+def _plain(c: str) -> str:
+    return c if c.isalnum() or c in " '" else f"[{c}]" if c not in "^]\\" else f"\\{c}"
+
+
 def sql_string(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from vellum.functions.dialect import any_of
 from vellum.operators.lexicon_data import PLACES, SHORTEST_PLACES
 
 # Structural forms, the same in Java and RE2.
@@ -71,12 +72,13 @@ def is_mac(m: Column) -> Column:
 
 def has_place(m: Column) -> Column:
     """Whether a place name stands anywhere in the text, inside words too."""
-    return F.lower(m).rlike("|".join(SHORTEST_PLACES))
+    return F.lower(m).rlike(any_of(SHORTEST_PLACES))
 
 
 def places(m: Column) -> Column:
     """All place names in the text, longest first."""
-    return F.filter(F.split(F.lit("|".join(PLACES)), r"\|"), lambda p: F.contains(F.lower(m), p))
+    names = F.array(*map(F.lit, PLACES))
+    return F.when(has_place(m), F.filter(names, lambda p: F.contains(F.lower(m), p))).otherwise(F.when(m.isNotNull(), F.array().cast("array<string>")))
 
 
 PREDICATES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vellum.functions import validators
+from vellum.functions.dialect import any_of
 from vellum.operators import lexicon_data as data
 from vellum.operators.rules import FINDING, STEP, finding
 
@@ -14,8 +15,8 @@ _FROM, _TO = "(?i)(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 
 
 def term_findings(text: Column) -> Column:
-    """The first hit of each term, in the terms' order. A category none of whose terms stands in the text costs one search."""
-    parts, order = [], 200 * STEP
+    """The first hit of each term, in the terms' order. One search tells whether any term stands in the text, then one for each category."""
+    parts, order, none = [], 200 * STEP, F.array().cast(f"array<{FINDING}>")
     for category, terms in data.TERMS.items():
         label, safe = data.TERM_LABEL.get(category, (None, "[REDACTED]"))
         before, _, after = safe.partition("{}")
@@ -27,10 +28,13 @@ def term_findings(text: Column) -> Column:
         first = lambda t, k: F.struct(t.alias("term"), F.call_function("regexp_extract", text, F.concat(F.lit(_FROM), t, F.lit(_TO)), F.lit(0)).alias("raw"), k.alias("k"))
         hits = F.filter(F.transform(strings(terms), first), lambda h: h["raw"] != "")
         found = F.transform(hits, made).cast(f"array<{FINDING}>")
-        any_term = _FROM + "(?:" + "|".join(terms) + ")" + _TO
-        parts.append(F.when(text.rlike(any_term), found).otherwise(F.array().cast(f"array<{FINDING}>")))
+        parts.append(F.when(text.rlike(_any_term(terms)), found).otherwise(none))
         order += len(terms)
-    return F.concat(*parts)
+    return F.when(text.rlike(_any_term([t for terms in data.TERMS.values() for t in terms])), F.concat(*parts)).otherwise(F.when(text.isNotNull(), none))
+
+
+def _any_term(terms: list[str]) -> str:
+    return _FROM + any_of(terms) + _TO
 
 
 def similarity(a: Column, b: Column) -> Column:
