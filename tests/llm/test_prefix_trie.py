@@ -128,6 +128,25 @@ def test_query_has_turnless_members(spark, tmp_path):
     assert _rows(queries.op12_prefix_trie(spark, str(tmp_path))) == _brute(_rebuilt(_sequences(rows)))
 
 
+def test_query_equals_sql(spark, tmp_path):
+    import compare
+    from conftest import SF
+
+    assert not compare.differences(queries.op12_prefix_trie(spark, SF), compare.duck(SF), queries.ORACLES["op12_prefix_trie"])
+
+
+def test_sql_equals_brute_force():
+    import duckdb
+    import pandas as pd
+
+    rows = _conversations(6, 150)
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    got = con.execute(queries.ORACLES["op12_prefix_trie"]).fetchall()
+    assert sorted(tuple(-1 if v is None else v for v in r) for r in got) == _brute(_rebuilt(_sequences(rows)))
+
+
 def test_empty_table_and_turns(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert prefix_trie.trie(prefix_trie.turns_of(none)).collect() == []

@@ -227,7 +227,8 @@ def trie(sequences: DataFrame, *, group: int = GROUP, partitions: int | None = N
     keyed = cut(sequences.select("conv_id", F.array_join("turns.mark", "").alias("key"), F.col("turns.words").alias("words")))
     # the id is part of the order, so copies of one conversation lie in many partitions
     line = keyed.repartitionByRange(spread, "key", "conv_id").sortWithinPartitions("key", "conv_id")
-    rounds, level, parts = [cut(line.mapInArrow(_first_round, _SCHEMA))], 0, spread
+    rounds, level = [cut(line.mapInArrow(_first_round, _SCHEMA))], 0
+    parts = rounds[0].rdd.getNumPartitions()
     while level == 0 or parts > 1:
         level, parts = level + 1, -(-parts // group)
         atoms = rounds[-1].where("kind = 'atom'").withColumn("g", F.floor(F.col("part") / group).cast("long"))

@@ -100,4 +100,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_html_text, op2_token_counts, op3_line_dedup, op4_bpe, op5_simhash, op6_maxent_lm, op7_substring_dedup, op8_media, op9_quality, op10_decontamination, op11_packing, op12_prefix_trie, op13_alignment)
 }
-ORACLES = {"op7_substring_dedup": oracles.OP7, "op10_decontamination": oracles.OP10}
+ORACLES = {"op7_substring_dedup": oracles.OP7, "op10_decontamination": oracles.OP10, "op12_prefix_trie": oracles.OP12}
