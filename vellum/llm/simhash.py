@@ -135,12 +135,20 @@ def _shingle_set(text: str, shingle: int) -> set[bytes]:
     return {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
 
 
-def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v: keys of ``docs``, columns key and text) whose sets of shingles have the Jaccard similarity or more."""
-    small_batches(docs.sparkSession)
-    pairs = cut(pairs)
+def _similar(p: set[bytes], q: set[bytes], similarity: float) -> bool:
+    both = len(p & q)
+    return both >= similarity * (len(p) + len(q) - both) - 1e-9
+
+
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key, text: the texts of ``docs`` that stand in ``pairs`` (u, v: keys), one row each, in the checkpoint folder."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    texts = cut(docs.join(bounded(ids, 2_000_000), "key").groupBy("key").agg(F.first("text").alias("text")))
+    return cut(docs.join(bounded(ids, 2_000_000), "key").groupBy("key").agg(F.first("text").alias("text")))
+
+
+def verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v: keys of ``texts``) whose sets of shingles have the Jaccard similarity or more."""
+    small_batches(texts.sparkSession)
     a = texts.select(F.col("key").alias("u"), F.col("text").alias("a"))
     b = texts.select(F.col("key").alias("v"), F.col("text").alias("b"))
 
@@ -155,16 +163,17 @@ def verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float)
                     if held > 1 << 20:
                         left, held = {}, len(text)
                     left[u] = _shingle_set(text, shingle)
-                p, q = left[u], _shingle_set(y.as_py(), shingle)
-                both = len(p & q)
-                keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
+                keep.append(_similar(left[u], _shingle_set(y.as_py(), shingle), similarity))
             yield pa.RecordBatch.from_arrays([us, vs], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return cut(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
 
 
 def _tile_links(part: pd.DataFrame, shingle: int, similarity: float) -> pd.DataFrame:
-    """Links (u, v) of one tile, left texts to right ones, as a forest over the components (root) that they join."""
+    """The components (u, v: roots) that one tile's links join, left texts to right ones, as a forest.
+
+    The texts' hashes find a link, their shingles themselves confirm it.
+    """
     sides = [part[part["left"]], part[~part["left"]]]
     hashes = [[np.unique(shingles(t, shingle)) for t in side["text"]] for side in sides]
     sizes = [np.array([len(h) for h in side], np.float64) for side in hashes]
@@ -180,7 +189,7 @@ def _tile_links(part: pd.DataFrame, shingle: int, similarity: float) -> pd.DataF
             marks.append(mark)
         both += marks[0] @ marks[1].T
     near = both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both) - 1e-9
-    (us, uroots), (vs, vroots) = [(side["key"].tolist(), side["root"].tolist()) for side in sides]
+    (lefts, uroots), (rights, vroots) = [(side["text"].tolist(), side["root"].tolist()) for side in sides]
     parent, found = {}, []
 
     def top(x):
@@ -190,14 +199,14 @@ def _tile_links(part: pd.DataFrame, shingle: int, similarity: float) -> pd.DataF
 
     for i, j in np.argwhere(near).tolist():
         x, y = top(uroots[i]), top(vroots[j])
-        if x != y:
+        if x != y and _similar(_shingle_set(lefts[i], shingle), _shingle_set(rights[j], shingle), similarity):
             parent[max(x, y)] = min(x, y)
-            found.append((us[i], vs[j]))
+            found.append((x, y))
     return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
 
 def tiled_links(texts: DataFrame, held: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links that join all components within the groups: texts key, text; ``held`` band, key, size (bytes), root.
+    """Pairs of roots (u, v) that join all components within the groups: texts key, text; ``held`` band, key, size (bytes), root.
 
     Texts outside a group's largest component are held against all of the group. Both sides are dealt into blocks and every pair of
     blocks is a tile of bounded size, so a group takes many tasks and its texts travel once a tile, not once a pair.
@@ -216,19 +225,16 @@ def tiled_links(texts: DataFrame, held: DataFrame, shingle: int, similarity: flo
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = open_.where("root <> major").select("band", "key", "root", F.lit(True).alias("left"), one(F.col("xs")).alias("x"), every("ys").alias("y"))
     right = open_.select("band", "key", "root", F.lit(False).alias("left"), every("xs").alias("x"), one(F.col("ys")).alias("y"))
-    dealt = cut(left.unionByName(right))
-    needed = bounded(dealt.select("key").distinct(), 2_000_000)
-    once = texts.join(needed, "key").groupBy("key").agg(F.first("text").alias("text"))
-    tiles = dealt.join(once, "key").groupBy("band", "x", "y")
-    return tiles.applyInPandas(lambda part: _tile_links(part, shingle, similarity), "u long, v long").distinct()
+    tiles = left.unionByName(right).join(texts, "key").groupBy("band", "x", "y")
+    return tiles.applyInPandas(lambda part: _tile_links(part, shingle, similarity), "u long, v long")
 
 
 def verified_classes(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, component: the smallest id reachable over verified pairs, for every row.
 
     First every text of a subset's group is held against the group's smallest. Where a group then has texts of several components,
-    tiles hold each text outside the group's largest component against all of the group (``tiled_links``, by the shingles' 64-bit
-    hashes; the links found are verified like the others). Every pair of a group is so compared or linked.
+    tiles hold each text outside the group's largest component against all of the group (``tiled_links``), and what they join are
+    components, not texts again. Every pair of a group is so compared or linked. Texts that meet any other are stored once for both.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -247,22 +253,23 @@ def verified_classes(docs: DataFrame, *, shingle: int = 5, similarity: float = 0
     signed = cut(slim.mapInArrow(run, f"id {kind}, key long, size long, fp long, bands array<bigint>"))
     nodes = cut(signed.groupBy("key").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     groups = nodes.select("key", "size", F.explode("bands").alias("band"))
+    several = groups.groupBy("band").agg(F.min("key").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "u")
+    shared = cut(groups.join(several, "band"))
     by_fp = nodes.groupBy("fp").agg(F.min("key").alias("first"))
     near = links(by_fp, radius)
     u, v = by_fp.select(F.col("fp").alias("u"), F.col("first").alias("x")), by_fp.select(F.col("fp").alias("v"), F.col("first").alias("y"))
     stars = [
-        groups.join(groups.groupBy("band").agg(F.min("key").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1"), "band").select("u", F.col("key").alias("v")),
+        shared.select("u", F.col("key").alias("v")),
         nodes.join(by_fp, "fp").select(F.col("first").alias("u"), F.col("key").alias("v")),
         near.join(u, "u").join(v, "v").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")),
     ]
     tried = cut(stars[0].unionByName(stars[1]).unionByName(stars[2]).where("u <> v").distinct())
-    linked = verified(slim, tried, shingle, similarity)
-    member = components(linked)
-    held = groups.join(member.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    later = verified(slim, tiled_links(slim, held, shingle, similarity), shingle, similarity)
-    if not later.isEmpty():
-        member = components(linked.unionByName(later))
-    rooted = nodes.join(member.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    texts = texts_of(slim, tried)
+    member = components(verified(texts, tried, shingle, similarity)).withColumnRenamed("node", "key")
+    held = shared.drop("u").join(member, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    joined = components(tiled_links(texts, held, shingle, similarity)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rooted = nodes.join(member, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    rooted = rooted.join(joined, "root", "left").select("key", "least", F.coalesce("top", "root").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
     known = rooted.join(lowest, "root").select("key", "component")
     return signed.select("id", "key").join(known, "key").select(F.col("id").alias(id_col), "component")
