@@ -29,6 +29,11 @@ LABEL = {"documented": r"^[A-Z]{1,4}[^A-Za-z]*$", "as_written": r"^[A-Z]{1,4}[^a
 #: A text is in capitals if it has more than so many characters, and more than this share of its letters are capitals.
 CAPS_LENGTH, CAPS_SHARE = 10, 0.70
 _CODE_JAVA = java(CODE)
+#: White space other than a plain space.
+_OTHER_SPACES = SPACES.replace(r"\s", r"\t\n\f\r")
+#: Runs of white space but for single plain spaces, which collapsing leaves as they are; printing characters are told by one range. The same in ASCII.
+_RUN = rf"(?![!-~])(?:[{_OTHER_SPACES}]| (?=[{SPACES}]))[{SPACES}]*"
+_ASCII_RUN = r"[\t\n\x0B\f\r]\s*| \s+"
 
 
 @F.pandas_udf(T.StringType())
@@ -51,7 +56,7 @@ def compose(c: Column) -> Column:
 
 
 def strip_invisible(c: Column) -> Column:
-    return F.regexp_replace(c, INVISIBLE, "")
+    return F.when(_beyond_ascii(c), F.regexp_replace(c, rf"(?![\x00-\x7F]){INVISIBLE}", "")).otherwise(c)
 
 
 def line_feeds(c: Column) -> Column:
@@ -75,13 +80,23 @@ def ascii_punctuation(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, f"[{SPACES}]+", " "))
+    return F.trim(F.when(_beyond_ascii(c), F.regexp_replace(c, _RUN, " ")).otherwise(F.regexp_replace(c, _ASCII_RUN, " ")))
 
 
 def upper_ratio(c: Column) -> Column:
-    """Share of capitals among ASCII letters, 0 without letters."""
-    letters = F.length(F.regexp_replace(c, "[^a-zA-Z]", ""))
-    return F.when(letters > 0, F.length(F.regexp_replace(c, "[^A-Z]", "")) / letters).otherwise(F.lit(0.0))
+    """Share of capitals among ASCII letters, 0 without letters. Letters are taken out by runs, since each match costs as much as many characters."""
+    letters = _count(c, "a-zA-Z")
+    return F.when(letters > 0, _count(c, "A-Z") / letters).otherwise(F.lit(0.0))
+
+
+def caps_ratio(c: Column) -> Column:
+    """``upper_ratio`` if it may be above ``CAPS_SHARE``, else 0: not if the letters of the first eighth alone are too many for all capitals."""
+    head = _count(F.left(c, (F.length(c) / 8).cast("int")), "a-zA-Z")
+    return F.when(_count(c, "A-Z") >= head * (CAPS_SHARE * 0.9), upper_ratio(c)).otherwise(F.lit(0.0))
+
+
+def _count(c: Column, letters: str) -> Column:
+    return F.length(c) - F.length(F.regexp_replace(c, f"[{letters}]+", ""))
 
 
 def _capitals(parts: Column) -> Column:
@@ -99,8 +114,9 @@ def sentence_case(c: Column) -> Column:
     return F.regexp_replace(_capitals(F.split(F.lower(c), _SENTENCE, -1)), java(r"\bi\b"), "I")
 
 
-def caps_fires(c: Column, profile: str = "documented") -> Column:
-    return ~F.trim(c).rlike(LABEL[profile].replace("$", r"\z")) & (F.length(c) > CAPS_LENGTH) & (upper_ratio(c) > CAPS_SHARE)
+def caps_fires(c: Column, profile: str = "documented", ratio: Column | None = None) -> Column:
+    """ratio: the text's ``caps_ratio``, if it is known."""
+    return (F.length(c) > CAPS_LENGTH) & ((caps_ratio(c) if ratio is None else ratio) > CAPS_SHARE) & ~F.trim(c).rlike(LABEL[profile].replace("$", r"\z"))
 
 
 def code_blocks(c: Column) -> Column:
@@ -148,7 +164,8 @@ def tidy_punctuation(c: Column) -> Column:
 
 def sentence_bounds(c: Column) -> Column:
     """A full stop between a lower-case letter and a capitalised word of three letters or more."""
-    return F.regexp_replace(c, "([a-z])( )([A-Z][a-z]{2,})", "$1.$2$3")
+    # searched from the space on; the letter before it must not belong to the last match, which a match from that letter on would need too
+    return F.regexp_replace(c, r" (?<=[a-z] )(?<!\G )([A-Z][a-z]{2,})", ". $1")
 
 
 def raise_starts(c: Column) -> Column:
@@ -156,9 +173,8 @@ def raise_starts(c: Column) -> Column:
     lead = r"^([\"'(\[{]*)[a-z]"
     n = F.length(F.regexp_extract(c, lead, 1))
     start = F.when(c.rlike(lead), F.concat(F.substring(c, F.lit(1), n), F.upper(F.substring(c, n + 1, F.lit(1))), F.substr(c, n + 2))).otherwise(c)
-    return F.array_join(
-        F.transform(F.split(start, _SENTENCE, -1), lambda p, i: F.when((i > 0) & F.substring(p, 1, 1).rlike("[a-z]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))).otherwise(p)), ""
-    )
+    raised = F.transform(F.split(start, _SENTENCE, -1), lambda p, i: F.when((i > 0) & F.substring(p, 1, 1).rlike("[a-z]"), F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))).otherwise(p))
+    return F.when(c.rlike("[.!?] [a-z]"), F.array_join(raised, "")).otherwise(start)
 
 
 def normalize(df: DataFrame, text_col: str = "text", profile: str = "documented") -> DataFrame:
@@ -166,16 +182,20 @@ def normalize(df: DataFrame, text_col: str = "text", profile: str = "documented"
     has_code = F.col("masked").contains("`")
     d = df.withColumn("masked", shared_layer(F.col(text_col)))
     d = d.withColumn("codes__", F.when(has_code, code_blocks(F.col("masked"))))
-    d = d.withColumn("prose__", collapse(ascii_punctuation(F.when(has_code, split_code(F.col("masked"), F.col("codes__"), profile)).otherwise(F.col("masked")))))
-    d = d.withColumn("nlp__", sentence_bounds(tidy_punctuation(collapse(ascii_punctuation(F.col("masked"))))))
-    d = d.withColumn("caps_r__", caps_fires(F.col("prose__"), profile)).withColumn("caps_n__", caps_fires(F.col("nlp__"), profile))
+    d = d.withColumns({"flat__": collapse(ascii_punctuation(F.col("masked"))), "split__": F.when(has_code, split_code(F.col("masked"), F.col("codes__"), profile))})
+    d = d.withColumn("ratio__", caps_ratio(F.col("flat__")))
+    d = d.withColumn("prose__", F.when(has_code, collapse(ascii_punctuation(F.col("split__")))).otherwise(F.col("flat__")))
+    # tidying and sentence bounds change no letter, so the share of capitals stays
+    d = d.withColumn("nlp__", sentence_bounds(tidy_punctuation(F.col("flat__"))))
+    ratio_r = F.when(has_code, caps_ratio(F.col("prose__"))).otherwise(F.col("ratio__"))
+    d = d.withColumn("caps_r__", caps_fires(F.col("prose__"), profile, ratio_r)).withColumn("caps_n__", caps_fires(F.col("nlp__"), profile, F.col("ratio__")))
     d = d.withColumn("prose__", F.when(F.col("caps_r__"), sentence_case(F.col("prose__"))).otherwise(F.col("prose__")))
     d = d.withColumn("nlp__", F.when(F.col("caps_n__"), sentence_case(F.col("nlp__"))).otherwise(F.col("nlp__")))
-    plain = trim_space(F.regexp_replace(F.col("prose__"), "\n{3,}", "\n\n"))
+    plain = trim_space(F.col("prose__"))  # one line
     d = d.withColumn("parts__", F.when(has_code, prose_parts(F.col("prose__"))))
     d = d.withColumn("text_regex", F.when(has_code, join_code(F.col("parts__"), F.col("codes__"), profile)).otherwise(plain))
     d = d.withColumn("text_nlp", raise_starts(F.col("nlp__")))
-    return d.withColumn("was_caps_converted", F.col("caps_r__") | F.col("caps_n__")).drop("prose__", "nlp__", "caps_r__", "caps_n__", "codes__", "parts__")
+    return d.withColumn("was_caps_converted", F.col("caps_r__") | F.col("caps_n__")).drop("flat__", "split__", "ratio__", "prose__", "nlp__", "caps_r__", "caps_n__", "codes__", "parts__")
 
 
 def legacy(c: Column) -> Column:
