@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 
+import compare
+from conftest import SF
 from pyspark.sql import functions as F
 
+from vellum import queries
 from vellum.functions import normalize as norm
 from vellum.functions.dialect import SPACES, java
 from vellum.operators import lexicon, lexicon_data, rules
@@ -85,3 +88,10 @@ def test_terms_at_the_edges_of_a_text(spark):
     some = ["loan", "xloan", "loan_", "éloanç", "a Loan", "(TB)", "sex offender", "tbİ", "", None]
     d = spark.createDataFrame([(t,) for t in some], "t string").select("t", F.transform(lexicon.term_findings(F.col("t")), lambda f: f["raw_match"]).alias("f"))
     assert [r.f for r in d.collect()] == [["loan"], [], [], ["loan"], ["Loan"], ["TB"], ["sex offender"], ["tb"], [], None]
+
+
+def test_corpus_by_rule(spark):
+    """The report equals its SQL, and its scan puts no windows of all words together."""
+    d = queries.QUERIES["corpus_by_rule"](spark, SF)
+    assert "sequence(" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert not compare.differences(d, compare.duck(SF), queries.ORACLES["corpus_by_rule"])
